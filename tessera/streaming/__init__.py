@@ -1,0 +1 @@
+"""Nothing here: the analytics this engine covers have no streaming operators."""
