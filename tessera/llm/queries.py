@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import langid, packing, simhash, token_counts, toxicity
 from tessera.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +24,25 @@ def _query(f):
 def op6_simhash(spark, sf_dir):
     found = simhash.near_duplicates(documents(spark, sf_dir), size=4, bits=64, budget=4)
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op10_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False).drop("ids")
+
+
+@_query
+def op1_token_counts(spark, sf_dir):
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op2_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@_query
+def op4_language(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.learn(docs))
