@@ -139,7 +139,7 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow with this package importable on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, packing, simhash, token_counts, toxicity
+from tessera.llm import decontaminate, langid, packing, simhash, substrings, token_counts, toxicity
 from tessera.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,13 @@ def op2_toxicity(spark, sf_dir):
 def op4_language(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return langid.identify(docs, langid.learn(docs))
+
+
+@_query
+def op5_decontamination(spark, sf_dir):
+    return decontaminate.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@_query
+def op9_substrings(spark, sf_dir):
+    return substrings.remove_repeats(documents(spark, sf_dir)).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
