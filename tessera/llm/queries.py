@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, packing, simhash, substrings, token_counts, toxicity
+from tessera.llm import chat, decontaminate, fingerprints, langid, packing, simhash, substrings, token_counts, toxicity, warc
 from tessera.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,25 @@ def op5_decontamination(spark, sf_dir):
 @_query
 def op9_substrings(spark, sf_dir):
     return substrings.remove_repeats(documents(spark, sf_dir)).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@_query
+def op7_fingerprints(spark, sf_dir):
+    return fingerprints.with_edits(documents(spark, sf_dir))
+
+
+@_query
+def op8_warc(spark, sf_dir):
+    folder = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read(spark, folder).drop("target_uri")
+
+
+PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@_query
+def op3_chat(spark, sf_dir):
+    """All conversations and one whose texts are control strings."""
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
+    return chat.read(chat.windows(table.unionByName(probe), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
