@@ -25,7 +25,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Spans, Words, checkpoint, chunks, map_arrow, mix
@@ -266,3 +266,20 @@ def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 64, budget: int
     found = connected_components(links(nodes.where("node is not null"), tables, budget, bits))
     named = nodes.join(found, "node", "left").select(F.col("fingerprint").alias("_f"), F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, F.col("fingerprint") == F.col("_f")).select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest doc_id, with all its columns.
+
+    Options are those of near_duplicates. Of several rows with that doc_id the one whose text
+    has the smallest hash stays, once. Rows without a doc_id cannot be told apart by it: they
+    are kept.
+    """
+    found = near_duplicates(docs, **options).where("doc_id is not null")
+    # an id stays if it leads the group of one of its rows
+    leaders = found.groupBy("doc_id").agg(F.min("component_id").alias("_c")).where("_c = doc_id").select(F.col("doc_id").alias("_lead"))
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
+    kept = rows.join(leaders, F.col("_id") == F.col("_lead"), "left_semi")
+    numbered = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_h")))
+    return numbered.where("_n = 1").select("row.*").unionByName(rows.where("_id is null").select("row.*"))

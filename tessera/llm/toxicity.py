@@ -188,18 +188,13 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Documents that are not predicted toxic, with all their columns. A pass over the text column alone; no shuffle."""
-    import pandas as pd
+    """Documents that are not predicted toxic, with all their columns; no shuffle."""
 
-    match = None
-
-    def flag(text: pd.Series) -> pd.Series:
-        nonlocal match
-        match = match or lexicon.matcher()
-        found = [match(t or "") for t in text]
-        return pd.Series(lexicon.score(np.array([x[0] for x in found], float), np.array([x[2] for x in found], float)) < 0.5)
-
-    from tessera.llm.common import ship
+    def run(batches):
+        match = lexicon.matcher()
+        for b in batches:
+            found = [match(t or "") for t in b.column("text").to_pylist()]
+            score = lexicon.score(np.array([x[0] for x in found], float), np.array([x[2] for x in found], float))
+            yield b.filter(pa.array(score < 0.5))
 
-    ship(docs.sparkSession)
-    return docs.where(F.pandas_udf(flag, "boolean")(F.col("text").cast("string")))
+    return map_arrow(docs, run, docs.schema)
