@@ -17,6 +17,7 @@ repeated rows are packed once each; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 
@@ -29,7 +30,7 @@ from tessera.llm.common import map_arrow
 
 SEQUENCE = 2048
 END = 1
-CACHE = 600_000  # chunks, and pre-tokens, whose ids a Python worker keeps
+CACHE = 1_000_000  # chunks, and pre-tokens, whose ids a Python worker keeps
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int, ids binary"
 
@@ -62,7 +63,7 @@ class Encoder:
         vocab = self.whole.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
+        self.chunks, self.ids = Numbers(), []
         self.pretokens: dict[str, bytes] = {}
 
     @classmethod
@@ -75,8 +76,6 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pretokens(self, new: list[str]) -> None:
-        if len(self.pretokens) + len(new) > CACHE:
-            self.pretokens.clear()
         for at in range(0, len(new), 1000):
             part = new[at : at + 1000]
             ids = np.array(self.words.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -90,29 +89,40 @@ class Encoder:
                 last = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        seen = self.chunks
-        new = {w for s in split for w in s if w not in seen}
-        if len(seen) + len(new) > CACHE:
-            seen.clear()
-            new = {w for s in split for w in s}
-        plain, other = {}, []
+        if len(self.chunks) > CACHE:
+            self.chunks, self.ids = Numbers(), []
+        number, ids = self.chunks, self.ids
+        split = [list(map(number.__getitem__, t.split())) for t in texts]  # one look-up a chunk; new ones are numbered
+        new = list(itertools.islice(reversed(number), len(number) - len(ids)))[::-1]
+        self._fill(new)
+        return [b"".join(map(ids.__getitem__, s)) for s in split]
+
+    def _fill(self, new: list[str]) -> None:
+        """Ids of newly numbered chunks, in order."""
+        cut, other, found = [], [], {}
         for w in new:
             if self.PLAIN.fullmatch(w):
-                plain[w] = self.PRETOKENS.findall(w.lower())
+                cut.append(self.PRETOKENS.findall(w.lower()))
             else:
+                cut.append(None)
                 other.append(w)
+        unknown = {p for ps in cut if ps for p in ps}
+        if len(self.pretokens) + len(unknown) > CACHE:
+            self.pretokens.clear()
         known = self.pretokens
-        unknown = {p for ps in plain.values() for p in ps if p not in known}
-        if unknown:
-            if len(known) + len(unknown) > CACHE:
-                unknown = {p for ps in plain.values() for p in ps}
-            self._pretokens(list(unknown))
-        for w, ps in plain.items():
-            seen[w] = b"".join([known[p] for p in ps])
+        unknown.difference_update(known)
+        self._pretokens(list(unknown))
         if other:
-            seen.update(zip(other, self._whole(other)))
-        return [b"".join([seen[w] for w in s]) for s in split]
+            found = dict(zip(other, self._whole(other)))
+        self.ids += [found[w] if ps is None else known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for w, ps in zip(new, cut)]
+
+
+class Numbers(dict):
+    """Numbers keys by their first look-up."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
 
 
 def pack(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, end: int = END, keep_ids: bool = True) -> DataFrame:
