@@ -94,9 +94,9 @@ def fingerprints(docs: DataFrame, size: int = 4, bits: int = 64, plain: bool = F
 def exact_tables(bits: int, budget: int, n: int) -> list[np.ndarray]:
     """Bit sets of which every pair within the budget agrees on one: all choices of blocks that so many errors leave untouched.
 
-    More blocks make longer starts: as many as keep about 16 of n random fingerprints under one.
+    More blocks make longer starts: two blocks at least, and as many as keep about 16 of n random fingerprints under one.
     """
-    for blocks in range(budget + 1, budget + 5):
+    for blocks in range(budget + 2, budget + 5):
         parts = np.array_split(np.arange(bits), blocks)
         tables = [np.concatenate(x) for x in itertools.combinations(parts, blocks - budget)]
         if n <= 16 * 2 ** min(map(len, tables)):
