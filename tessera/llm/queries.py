@@ -55,7 +55,7 @@ def op5_decontamination(spark, sf_dir):
 
 @_query
 def op9_substrings(spark, sf_dir):
-    return substrings.remove_repeats(documents(spark, sf_dir)).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+    return substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text")).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @_query

@@ -17,9 +17,8 @@ words also start in a document with a smaller doc_id. Three passes, each linear
    through it. Occurrences are thus confirmed word by word; words they cover are removed.
    Shards follow the documents, so each document meets only phrases it can hold.
 
-A window counts once for each document in passes 1 and 2, minima are taken before the
-shuffle, and the join back to documents is one that adaptive execution splits if a hash is
-hot, so no task gathers a whole group.
+A window counts once for each document in pass 1, and once for each chunk of text where it
+is gathered in pass 2, so no task gathers a whole group of a hot one.
 
 Defined cases: a null text has no words and stays null; a null doc_id is neither smaller nor
 larger than any other, so its text is kept and marks nothing; rows that share a doc_id do
@@ -38,10 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Spans, Words, checkpoint, chunks, map_arrow
+from tessera.llm.common import Spans, Words, checkpoint, chunks, map_arrow, mix
 
 WINDOW = 13
 ANCHOR = 5
+ANCHOR_SHIFT = np.uint64(24)  # anchors are told apart by 40 bits: enough for a filter, and less to move
 MAX_BITS = 1 << 30  # of the anchor bitmap: 128 MB
 SHARD_PHRASES = 30_000
 SHARD_TEXT = 1 << 18  # bytes of text that share automata
@@ -80,7 +80,7 @@ def anchor_bitmap(docs: DataFrame, size: int) -> np.ndarray:
             doc = w.owner[first]
             new = np.ones(len(doc), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), b.column("doc_id").take(pa.array(doc[new]))], ["anchor", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array((anchor[new] >> ANCHOR_SHIFT).view(np.int64)), b.column("doc_id").take(pa.array(doc[new]))], ["anchor", "doc_id"])
 
     found = map_arrow(docs, run, "anchor long, doc_id long")
     recurring = checkpoint(found.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("anchor"))
@@ -94,26 +94,38 @@ def anchor_bitmap(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def recurring_windows(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, windows): hashes of the windows of each document that a smaller document starts."""
+    """(doc_id, windows): hashes of the windows of each document that a smaller document starts.
+
+    Within a chunk of text all documents but the smallest that hold a window are decided at
+    once; only the smallest meets those of other chunks, so a hot window sends one row for
+    each chunk. Decided rows travel under a key of their own document, the others under the
+    window, in one shuffle that the minima and the join back to them share.
+    """
     held = docs.sparkSession.sparkContext.broadcast(anchor_bitmap(docs, size))
 
     def run(batches):
         bitmap = held.value
         mask = np.uint64(8 * len(bitmap) - 1)
         for b, w, spans, first, anchor in _windows(batches, size):
-            at = (anchor & mask).astype(np.int64)
+            at = ((anchor >> ANCHOR_SHIFT) & mask).astype(np.int64)
             first = first[(bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            h = spans.hash(w.start[first], w.end[first + size - 1])
-            doc = w.owner[first]
-            order = np.lexsort((h, doc))
+            h = spans.hash(w.start[first], w.end[first + size - 1]).view(np.int64)
+            doc = b.column("doc_id").to_numpy()[w.owner[first]]
+            order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), b.column("doc_id").take(pa.array(doc[new]))], ["window", "doc_id"])
-
-    found = map_arrow(docs, run, "window long, doc_id long")
-    least = found.groupBy("window").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("window", "_a")
-    return found.join(least, "window").where("doc_id > _a").groupBy("doc_id").agg(F.collect_list("window").alias("windows"))
+            group = np.ones(len(h), bool)
+            group[1:] = h[1:] != h[:-1]
+            new = group.copy()
+            new[1:] |= doc[1:] != doc[:-1]
+            h, doc, group = h[new], doc[new], group[new]
+            key = np.where(group, h, mix(doc.view(np.uint64), 9).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(doc)], ["key", "window", "doc_id"])
+
+    found = map_arrow(docs, run, "key long not null, window long not null, doc_id long not null").repartition("key")
+    least = found.groupBy("key").agg(F.min(F.when(F.col("key") == F.col("window"), F.col("doc_id"))).alias("_a"))
+    # a key of another name: without a clash of attributes both sides read the same exchange
+    marked = found.join(least.select(F.col("key").alias("_k"), "_a"), F.col("key") == F.col("_k")).where("key <> window or doc_id > _a")
+    return marked.groupBy("doc_id").agg(F.collect_list("window").alias("windows"))
 
 
 def _shard(texts: list[bytes], windows: list[np.ndarray | None], size: int) -> list[np.ndarray | None]:
