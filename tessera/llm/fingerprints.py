@@ -38,7 +38,7 @@ SHARE = 1 / 32  # of the hash space that is held
 FEWEST = 64  # smallest hashes that are held in any case
 LIMIT = int(SHARE * 2**32)
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-RANGE_BYTES = 16 << 20  # text of one range
+RANGE_BYTES = 4 << 20  # text of one range
 MAX_RANGES = 4096  # bounds are one expression; larger ranges are sorted on disk and still read as a stream
 
 
