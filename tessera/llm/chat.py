@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow
+from tessera.llm.common import keep, map_arrow
 
 BUDGET, HISTORY = 1024, 256
 # The template's control strings.
@@ -78,8 +78,6 @@ def turns(text: str) -> list[tuple[str, str]]:
 class Tokens:
     """Token counts by a byte-level BPE given as ranks."""
 
-    _kept: dict[str, Tokens] = {}
-
     def __init__(self, path: str, pattern: str) -> None:
         import tiktoken
 
@@ -89,9 +87,10 @@ class Tokens:
 
     @classmethod
     def get(cls, path: str, pattern: str) -> Tokens:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path, pattern)
-        return cls._kept[path]
+        kept = keep(__name__)
+        if path not in kept:
+            kept[path] = cls(path, pattern)
+        return kept[path]
 
     def counts(self, texts: list[str]) -> list[int]:
         return [len(self.encoding.encode_ordinary(t)) for t in texts]

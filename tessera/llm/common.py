@@ -16,7 +16,7 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _STEP = 4096
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
-CHUNK_BYTES = 4 << 20  # text that one step of a vectorised operator holds
+CHUNK_BYTES = 2 << 20  # text that one step of a vectorised operator holds
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -64,10 +64,13 @@ class Spans:
 
     def __init__(self, data: np.ndarray) -> None:
         n = len(data) + 1
-        if Spans._cache is None or len(Spans._cache[0]) < n:
-            size = 1 << (n - 1).bit_length()
-            Spans._cache = _powers(_BASE, size), _powers(pow(_BASE, -1, 2**64), size)
-        up, self._down = Spans._cache
+        if Spans._cache is not None and len(Spans._cache[0]) >= n:
+            up, self._down = Spans._cache
+        else:
+            size = max(n, CHUNK_BYTES + CHUNK_BYTES // 4)
+            up, self._down = _powers(_BASE, size), _powers(pow(_BASE, -1, 2**64), size)
+            if size < 2 * CHUNK_BYTES:  # those of a very long text go with it
+                Spans._cache = up, self._down
         self._sum = np.zeros(n, np.uint64)
         np.cumsum(_BYTE[data] * up[: n - 1], out=self._sum[1:])
 
@@ -145,7 +148,27 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
+KEPT: dict[str, dict] = {}  # what operators keep in this Python worker for its next task, by module
+
+
+def keep(owner: str) -> dict:
+    """The dictionary that a module keeps between tasks of a worker."""
+    return KEPT.setdefault(owner, {})
+
+
+def _alone(owner: str) -> None:
+    """Drop what other modules keep: a worker that serves several stages holds the caches of one."""
+    for other in [k for k in KEPT if k != owner]:
+        KEPT.pop(other).clear()
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow with this package importable on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    owner = run.__module__
+
+    def alone(batches):
+        _alone(owner)
+        yield from run(batches)
+
+    return df.mapInArrow(alone, schema)

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow
+from tessera.llm.common import keep, map_arrow
 
 SEQUENCE = 2048
 END = 1
-CACHE = 1_000_000  # chunks, and pre-tokens, whose ids a Python worker keeps
+CHUNKS, PRETOKENS = 400_000, 200_000  # whose ids a Python worker keeps: about 130 MB
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int, ids binary"
 
@@ -49,7 +49,6 @@ class Encoder:
     Any other chunk goes through the whole tokenizer.
     """
 
-    _kept: dict[str, Encoder] = {}
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")  # characters that no normalisation but lower-casing changes
     PRETOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")  # fixed value: the tokenizer's own pattern, within PLAIN
 
@@ -68,9 +67,10 @@ class Encoder:
 
     @classmethod
     def get(cls, path: str) -> Encoder:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+        kept = keep(__name__)
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,7 +89,7 @@ class Encoder:
                 last = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > CACHE:
+        if len(self.chunks) > CHUNKS:
             self.chunks, self.ids = Numbers(), []
         number, ids = self.chunks, self.ids
         split = [list(map(number.__getitem__, t.split())) for t in texts]  # one look-up a chunk; new ones are numbered
@@ -107,7 +107,7 @@ class Encoder:
                 cut.append(None)
                 other.append(w)
         unknown = {p for ps in cut if ps for p in ps}
-        if len(self.pretokens) + len(unknown) > CACHE:
+        if len(self.pretokens) + len(unknown) > PRETOKENS:
             self.pretokens.clear()
         known = self.pretokens
         unknown.difference_update(known)

@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, mix
+from tessera.llm.common import keep, map_arrow, mix
 
 MARK = "▁"
 BYTE_SCORE = -25.0  # for each byte of a character outside the vocabulary; pieces score above -12
-CACHE = 1_000_000  # pre-tokens whose counts a Python worker keeps
+CACHE = 600_000  # pre-tokens whose counts a Python worker keeps
 LONGEST = 64
 BATCH = 512  # documents whose pre-tokens share a trie
 
@@ -45,8 +45,6 @@ def vocabulary(path: str) -> dict[str, float]:
 class TrieCounter:
     """Counts of pre-tokens by depth-synchronous forward scores over their trie."""
 
-    _kept: dict[str, TrieCounter] = {}
-
     def __init__(self, vocab: dict[str, float]) -> None:
         self.pieces = vocab
         self.longest = max(map(len, vocab), default=1)
@@ -63,9 +61,10 @@ class TrieCounter:
 
     @classmethod
     def get(cls, path: str) -> TrieCounter:
-        if path not in cls._kept:
-            cls._kept[path] = cls(vocabulary(path))
-        return cls._kept[path]
+        kept = keep(__name__)
+        if path not in kept:
+            kept[path] = cls(vocabulary(path))
+        return kept[path]
 
     @staticmethod
     def _fold(codes: np.ndarray) -> np.ndarray:
