@@ -9,8 +9,8 @@ some chosen set of bits, so for each such set (a table) the fingerprints are rea
 paths of a binary trie that starts with these bits: subtries under different starts are
 independent tasks. Below a start, pairs of nodes are traversed together; the differing
 bits of their paths are added up, and a pair is dropped once they exceed the budget.
-A pair of nodes whose members all hang together already is dropped too, so a task
-returns a spanning forest of its links, never all pairs of a group.
+A pair of nodes whose members all hang together already is dropped too, and a task returns
+one link for each member of what hangs together, never all pairs of a group.
 
 Defined cases: null text counts as empty; all documents without words link to each
 other; repeated rows are each returned; rows that share a doc_id are one node; a null
@@ -189,8 +189,10 @@ def trie_links(prints: np.ndarray, budget: int) -> list[tuple[int, int]]:
     return links
 
 
-def _subtries(key: np.ndarray, prints: np.ndarray, ids: np.ndarray, budget: int) -> tuple[list, list]:
-    """Links below each start, for rows sorted by key."""
+def _subtries(key: np.ndarray, prints: np.ndarray, ids: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links below each start, for rows sorted by key: from the smallest id of what hangs together there to each other member."""
+    order = np.lexsort((ids, key))
+    key, prints, ids = key[order], prints[order], ids[order]
     a, b = [], []
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(edge, len(key)))
@@ -198,14 +200,23 @@ def _subtries(key: np.ndarray, prints: np.ndarray, ids: np.ndarray, budget: int)
     for step in range(1, int(size[size <= SMALL].max(initial=0))):
         i = np.flatnonzero((key[:-step] == key[step:]) & small[:-step])
         i = i[distance(prints[i], prints[i + step]) <= budget]
-        a.append(ids[i])
-        b.append(ids[i + step])
+        a.append(i)
+        b.append(i + step)
     for lo, n in zip(edge[size > SMALL], size[size > SMALL]):
         order = lo + np.lexsort(prints[lo : lo + n].T[::-1])
-        links = np.array(trie_links(prints[order], budget), np.int64).reshape(-1, 2)
-        a.append(ids[order[links[:, 0]]])
-        b.append(ids[order[links[:, 1]]])
-    return a, b
+        pairs = np.array(trie_links(prints[order], budget), np.int64).reshape(-1, 2)
+        a.append(order[pairs[:, 0]])
+        b.append(order[pairs[:, 1]])
+    i, j = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
+    root, last = np.arange(len(key)), None
+    while last is None or (root != last).any():
+        last = root.copy()
+        least = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, least)
+        np.minimum.at(root, j, least)
+        root = root[root]
+    member = np.flatnonzero(root != np.arange(len(key)))
+    return ids[root[member]], ids[member]
 
 
 def links(nodes: DataFrame, tables: list[np.ndarray], budget: int, bits: int) -> DataFrame:
@@ -244,11 +255,15 @@ def links(nodes: DataFrame, tables: list[np.ndarray], budget: int, bits: int) ->
                 continue
             prints = unpack(now.column("fingerprint")).view(">u8").astype(np.uint64).reshape(-1, words)
             a, c = _subtries(now.column("key").to_numpy(), prints, now.column("node").to_numpy(), budget)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(c))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
 
     keyed = map_arrow(nodes.select("fingerprint", "node"), starts, "key long, fingerprint binary, node long")
-    return map_arrow(keyed.repartition("key").sortWithinPartitions("key"), traverse, "a long, b long").distinct()
+    found = map_arrow(keyed.repartition("key").sortWithinPartitions("key"), traverse, "a long, b long")
+    # a member has a root in each table at most; a chain through them, which most members share, links as much
+    roots = found.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("r"))
+    chain = F.concat(F.array(F.struct(F.col("r")[0].alias("a"), F.col("b"))), F.transform(F.sequence(F.lit(0), F.size("r") - 2), lambda i: F.struct(F.get("r", i).alias("a"), F.get("r", i + 1).alias("b"))))
+    one = F.array(F.struct(F.col("r")[0].alias("a"), F.col("b")))
+    return roots.select(F.inline(F.when(F.size("r") > 1, chain).otherwise(one))).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 64, budget: int = 4, recall: float | None = None, plain: bool = False) -> DataFrame:
