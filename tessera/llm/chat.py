@@ -1,7 +1,8 @@
 """Chat formatting in budgeted windows.
 
 Turns of a conversation are cut into windows of at most BUDGET tokens, at turn borders, by
-running sums of turn tokens. Every window opens with the conversation's system turn, if it
+running sums of turn tokens, counted over formatted turns: template and escapes are paid
+for, and each turn costs a token at least, so no run of empty texts outgrows a window. Every window opens with the conversation's system turn, if it
 has one, and repeats turns from the end of the window before it, HISTORY tokens of them at
 most. The loss mask covers assistant texts, each in the one window where it is new.
 
@@ -106,8 +107,8 @@ class _Windows:
         self.sums = [0]  # prefix sums of their tokens
         self.repeated, self.number, self.seen = 0, 0, 0
 
-    def add(self, role: str, text: str, tokens: int):
-        shown, at = turn(role, text)
+    def add(self, role: str, shown: str, at: int, tokens: int):
+        """Take a turn formatted by turn()."""
         item = (shown, at, tokens, role == "assistant")
         base = self.system[2] if self.system else 0
         if len(self.held) > self.repeated and base + self.sums[-1] + tokens > self.budget:
@@ -167,13 +168,15 @@ def windows(conversations: DataFrame, tokenizer: str, pattern: str, budget: int
         for b in batches:
             for at in range(0, len(b), 512):
                 part = b.slice(at, 512)
-                texts, out = part.column("text").to_pylist(), []
-                for conv, role, text, n in zip(part.column("conv_id").to_pylist(), part.column("role").to_pylist(), texts, counter.counts(texts)):
+                roles, out = part.column("role").to_pylist(), []
+                formatted = [turn(role, text) for role, text in zip(roles, part.column("text").to_pylist())]
+                sizes = counter.counts([shown for shown, _ in formatted])
+                for conv, role, (shown, start), n in zip(part.column("conv_id").to_pylist(), roles, formatted, sizes):
                     if state is None or state.conv != conv:
                         if state is not None:
                             out += state.end()
                         state = _Windows(conv, budget, history)
-                    out += state.add(role, text, n)
+                    out += state.add(role, shown, start, n)
                 yield batch(out)
         if state is not None:
             yield batch(list(state.end()))

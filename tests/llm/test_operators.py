@@ -132,6 +132,17 @@ def test_chat_round_trip(spark):
     assert chat.read(chat.windows(df.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)).count() == 0
 
 
+def test_chat_empty_turns_fill_windows(spark):
+    """The template costs tokens too: a conversation of empty texts is cut, and each window keeps to the budget as formatted."""
+    df = spark.range(3000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "cast(null as string) as text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    kept = rows(chat.windows(df, path, public_tokenizers.PATTERN, 120, 40))
+    counter = chat.Tokens(path, public_tokenizers.PATTERN)
+    assert len(kept) > 50 and all(w["tokens"] <= 120 for w in kept)
+    assert all(w["tokens"] == sum(counter.counts([chat.turn(*t)[0] for t in chat.turns(w["text"])])) for w in kept[:20])
+    assert rows(chat.read(chat.windows(df, path, public_tokenizers.PATTERN)))[0]["n_turns"] == 3000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "x"]), st.text("<s>/[]INSTROLE\\ a", max_size=20))))
 def test_chat_escapes(turns):
