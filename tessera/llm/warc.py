@@ -12,7 +12,8 @@ pages then move once, to meet their digest's row, in a join that adaptive execut
 where one payload is very common.
 
 Archives are written as gzip members of at most FILE_RECORDS records by Spark's own writer,
-under the shared checkpoint folder unless a path is given, and read as binary files.
+under the shared checkpoint folder unless a path is given. A file is read back as a stream:
+besides its compressed bytes one record is held at a time.
 
 Record identifiers are version-8 UUIDs that hold the page_id, so references can be read back.
 
@@ -26,10 +27,12 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -132,18 +135,20 @@ def to_warc(fields: dict[str, str], block: bytes, refers_to: int | None = None)
     return "\r\n".join([*lines, f"Content-Length: {len(body)}", "", ""]).encode("utf-8", "surrogatepass") + body
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an uncompressed WARC file."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *rest = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")
-        if not first.startswith("WARC/1."):
+def parse_warc(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of an uncompressed WARC file, one record at a time."""
+    while first := file.readline():
+        if not first.startswith(b"WARC/1."):
             raise ValueError("not a WARC record")
-        headers = dict(x.split(": ", 1) for x in rest)
+        headers = {}
+        while line := file.readline().rstrip(b"\r\n"):
+            name, value = line.decode("utf-8", "surrogatepass").split(": ", 1)
+            headers[name] = value
         size = int(headers["Content-Length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        block = file.read(size)
+        if len(block) < size or file.read(4) != b"\r\n\r\n":
+            raise ValueError("a WARC record does not end where it declares")
+        yield headers, block
 
 
 def record_types(pages: DataFrame) -> DataFrame:
@@ -185,7 +190,7 @@ def read(spark, path: str) -> DataFrame:
         for b in batches:
             for i in range(len(b)):
                 out = []
-                for h, block in parse_warc(gzip.decompress(b.column("content")[i].as_py())):
+                for h, block in parse_warc(gzip.GzipFile(fileobj=io.BytesIO(b.column("content")[i].as_py()))):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     kind, refers = h["WARC-Type"], h.get("WARC-Refers-To")
                     declared = h["WARC-Payload-Digest"].removeprefix("sha256:")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -340,6 +341,19 @@ def test_arc_parsing():
         assert warc.page_of(warc.record_id(p)) == p
 
 
+def test_warc_parsing():
+    payload = b"a\r\n\r\nWARC/1.1\r\n"
+    arc = warc.write_arc([(5, "http://x", payload), (6, "http://y", b"")], 1)
+    data = b"".join(warc.to_warc(f, b, None if i == 0 else 5) + b"\r\n\r\n" for i, (f, b) in enumerate(warc.parse_arc(arc)))
+    (h, block), (h2, _) = warc.parse_warc(io.BytesIO(data))
+    assert block.partition(b"\r\n\r\n")[2] == payload and h["WARC-Type"] == "response" and h2["WARC-Type"] == "revisit"
+    assert warc.page_of(h2["WARC-Refers-To"]) == warc.page_of(h["WARC-Record-ID"]) == 5
+    assert list(warc.parse_warc(io.BytesIO(b""))) == []
+    for broken in (data[:-2], data[:-30], b"nonsense\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse_warc(io.BytesIO(broken)))
+
+
 # 9 substrings
 
 
