@@ -14,9 +14,13 @@ words also start in a document with a smaller doc_id. Three passes, each linear
 3. Location. Documents come with their confirmed windows. Their words form phrases, which
    are compiled into Aho-Corasick automata over word numbers, a shard for each few
    documents and at most SHARD_PHRASES of them, and the documents of the shard are streamed
-   through it. Occurrences are thus confirmed word by word; words they cover are removed.
+   through it. Occurrences are located word by word; words they cover are removed.
    Shards follow the documents, so each document meets only phrases it can hold.
 
+That windows of two documents are equal rests on their 64-bit hashes: their words are not laid
+side by side. Of n distinct windows in pass 2 about n * n / 2**65 pairs collide by chance, and
+each would remove one window's words wrongly.
+
 A window counts once for each document in pass 1, and once for each chunk of text where it
 is gathered in pass 2, so no task gathers a whole group of a hot one.
 
