@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage and their SQL, where SQL can express them."""
+"""The registered queries of this subpackage; their SQL, where SQL can express them, is in oracles."""
 
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontaminate, fingerprints, langid, packing, simhash, substrings, token_counts, toxicity, warc
 from tessera.llm.common import documents
+from tessera.llm.oracles import SQL as SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def _query(f):

@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm import chat, components, decontaminate, fingerprints, langid, packing, queries, simhash, substrings, token_counts, toxicity, warc
 from tessera.llm.common import Spans, Words
+from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -60,6 +61,11 @@ def rows(df):
     return [r.asDict() for r in df.collect()]
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_oracle(spark, name):
+    assert_same(queries.QUERIES[name](spark, SF), queries.SQL[name], SF)
+
+
 # 1 token counts
 
 
