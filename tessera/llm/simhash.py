@@ -1,7 +1,7 @@
 """SimHash near-duplicate detection by binary-trie self-joins.
 
 Fingerprints: each bit is the majority of that bit over the hashes of a document's word
-shingles, repeats included; a document of fewer words has one shingle, its whole word
+shingles, repeats included in 64 bits, distinct ones in wider fingerprints; a document of fewer words has one shingle, its whole word
 sequence; one without words has fingerprint zero.
 
 Join: equal fingerprints are collapsed first. A pair within the error budget agrees on
@@ -36,20 +36,23 @@ SMALL = 48  # subtries up to this size are compared side by side, larger ones by
 LEAF = 64  # node pairs up to this size are compared directly
 
 
-def xxh64(words: Words, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+def xxh64(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """XXH64 with seed 42 of each shingle's bytes."""
     data, f = words.data.tobytes(), xxhash.xxh64_intdigest
     found = (f(data[s:e], 42) for s, e in zip(words.start[first].tolist(), words.end[last].tolist()))
-    return [np.fromiter(found, np.uint64, len(first))]
+    return np.fromiter(found, np.uint64, len(first))
 
 
-def mixed256(words: Words, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
-    """Four independent 64-bit hashes of each shingle."""
-    h = Spans(words.data).hash(words.start[first], words.end[last])
-    return [mix(h, k) for k in range(1, 5)]
+_OWN = np.uint64(40)  # bits of a shingle's hash that tell it from others of its document
 
 
-HASHES = {64: xxh64, 256: mixed256}
+def distinct(words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and hash of each document's distinct shingles, so that a line repeated a thousand times weighs as one."""
+    h = Spans(words.data).hash(words.start[first], words.end[last]) >> (np.uint64(64) - _OWN)
+    h |= words.owner[first].astype(np.uint64) << _OWN
+    h.sort()
+    h = h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+    return (h >> _OWN).astype(np.int64), h & np.uint64((1 << int(_OWN)) - 1)
 
 
 def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -72,19 +75,24 @@ def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, size: int = 4, bits: int = 64, plain: bool = False) -> DataFrame:
-    """(doc_id, fingerprint binary, most significant bit first)."""
-    hashes = HASHES[bits]
+    """(doc_id, fingerprint binary, most significant bit first).
+
+    64 bits are the majority over the XXH64 of all shingles, repeats included; wider
+    fingerprints over independent hashes of the distinct shingles.
+    """
+    sets = bits > 64
 
     def run(batches):
         for b in chunks(batches, "text"):
             w = Words(b.column("text"), lower=True, plain=plain)
             first, last = w.shingles(size)
-            n = np.bincount(w.owner[first], minlength=len(b)) if len(first) else np.zeros(len(b), np.int64)
+            owner, h = distinct(w, first, last) if sets else (w.owner[first], xxh64(w, first, last))
+            n = np.bincount(owner, minlength=len(b)) if len(owner) else np.zeros(len(b), np.int64)
             some = np.flatnonzero(n)
             out = np.zeros((len(b), bits // 64), ">u8")
             if len(some):
-                for k, h in enumerate(hashes(w, first, last)):
-                    out[some, k] = majority(h, n[some])
+                for k in range(bits // 64):
+                    out[some, k] = majority(mix(h, k + 1) if sets else h, n[some])
             prints = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits // 8), len(b), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), prints], ["doc_id", "fingerprint"])
 
