@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep, map_arrow
+from tessera.llm.common import chunks, keep, map_arrow
 
 SEQUENCE = 2048
 END = 1
 CHUNKS, PRETOKENS = 400_000, 200_000  # whose ids a Python worker keeps: about 130 MB
+CHUNK_CHARACTERS, LONG_PRETOKEN = 16_000_000, 64  # what it keeps of chunks in all; longer pre-tokens are not kept
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int, ids binary"
 
@@ -62,7 +63,7 @@ class Encoder:
         vocab = self.whole.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.chunks, self.ids = Numbers(), []
+        self.chunks, self.ids, self.characters = Numbers(), [], 0
         self.pretokens: dict[str, bytes] = {}
 
     @classmethod
@@ -89,8 +90,8 @@ class Encoder:
                 last = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > CHUNKS:
-            self.chunks, self.ids = Numbers(), []
+        if len(self.chunks) > CHUNKS or self.characters > CHUNK_CHARACTERS:
+            self.chunks, self.ids, self.characters = Numbers(), [], 0
         number, ids = self.chunks, self.ids
         split = [list(map(number.__getitem__, t.split())) for t in texts]  # one look-up a chunk; new ones are numbered
         new = list(itertools.islice(reversed(number), len(number) - len(ids)))[::-1]
@@ -112,9 +113,13 @@ class Encoder:
         known = self.pretokens
         unknown.difference_update(known)
         self._pretokens(list(unknown))
+        self.characters += sum(map(len, new))
         if other:
             found = dict(zip(other, self._whole(other)))
         self.ids += [found[w] if ps is None else known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for w, ps in zip(new, cut)]
+        for p in unknown:
+            if len(p) > LONG_PRETOKEN:
+                del known[p]
 
 
 class Numbers(dict):
@@ -137,23 +142,21 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, end: int = EN
     def run(batches):
         count = 0
         encoder = Encoder.get(tokenizer)
-        for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.slice(at, 256)
-                rows: list[list] = [[] for _ in range(9)]
-                for doc, pid, ids in zip(part.column("doc_id").to_pylist(), part.column("part").to_pylist(), encoder.encode([t or "" for t in part.column("text").to_pylist()])):
-                    ids += tail
-                    n, start = len(ids) // 4, 0
-                    for length in pieces(n, longest):
-                        piece = ids[4 * start : 4 * (start + length)]
-                        row = (doc, start, length, zlib.crc32(piece), n, (pid << 40) + count, 0, length.bit_length() - 1, piece if keep_ids else None)
-                        for column, value in zip(rows, row):
-                            column.append(value)
-                        start, count = start + length, count + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(rows, [pa.int64()] * 7 + [pa.int32(), pa.binary()])],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "ids"],
-                )
+        for part in chunks(batches, "text"):
+            rows: list[list] = [[] for _ in range(9)]
+            for doc, pid, ids in zip(part.column("doc_id").to_pylist(), part.column("part").to_pylist(), encoder.encode([t or "" for t in part.column("text").to_pylist()])):
+                ids += tail
+                n, start = len(ids) // 4, 0
+                for length in pieces(n, longest):
+                    piece = ids[4 * start : 4 * (start + length)]
+                    row = (doc, start, length, zlib.crc32(piece), n, (pid << 40) + count, 0, length.bit_length() - 1, piece if keep_ids else None)
+                    for column, value in zip(rows, row):
+                        column.append(value)
+                    start, count = start + length, count + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(rows, [pa.int64()] * 7 + [pa.int32(), pa.binary()])],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "ids"],
+            )
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.spark_partition_id().cast("long").alias("part")), run, _SCHEMA)
 

@@ -25,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep, map_arrow, mix
+from tessera.llm.common import chunks, keep, map_arrow, mix
 
 MARK = "▁"
 BYTE_SCORE = -25.0  # for each byte of a character outside the vocabulary; pieces score above -12
-CACHE = 600_000  # pre-tokens whose counts a Python worker keeps
+CACHE = 600_000  # pre-tokens of at most LONGEST characters whose counts a Python worker keeps
 LONGEST = 64
-BATCH = 512  # documents whose pre-tokens share a trie
 
 
 def vocabulary(path: str) -> dict[str, float]:
@@ -172,7 +171,11 @@ class TrieCounter:
         for w in new:
             if len(w) > LONGEST:
                 seen[w] = self.long_count(w)
-        return [sum([seen[w] for w in s]) for s in split], [len(s) for s in split]
+        found = [sum([seen[w] for w in s]) for s in split], [len(s) for s in split]
+        for w in new:
+            if len(w) > LONGEST:
+                del seen[w]
+        return found
 
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
@@ -180,10 +183,8 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         counter = TrieCounter.get(model)
-        for b in batches:
-            for at in range(0, len(b), BATCH):
-                part = b.slice(at, BATCH)
-                tokens, words = counter.documents([t or "" for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
+        for part in chunks(batches, "text"):
+            tokens, words = counter.documents([t or "" for t in part.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_pretokens long, n_tokens long")
