@@ -241,6 +241,26 @@ def test_simhash(spark, texts, odd):
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in rows(kept)) == ["1", "4", "5", "7", "9", "None"]
 
 
+def test_wide_prints_take_distinct_shingles(spark):
+    words = [f"w{i}" for i in range(60)]
+    line = " one line that is repeated"
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words) + line * 300), (3, " ".join(w + "x" for w in words) + line * 300), (4, " ".join(words) + line * 2)], "doc_id long, text string")
+    prints = {r["doc_id"]: int.from_bytes(r["fingerprint"]) for r in rows(simhash.fingerprints(df, 5, 512, plain=True))}
+    assert prints[2] == prints[4] and (prints[1] ^ prints[2]).bit_count() < 86 < (prints[2] ^ prints[3]).bit_count()
+    assert [r["component_id"] for r in sorted(rows(simhash.near_duplicates(df, 5, 512, 86, 0.95, True)), key=lambda r: r["doc_id"])] == [1, 1, 3, 1]
+
+
+def test_caches_hold_no_long_words():
+    long = "x" * 5000
+    counter = token_counts.TrieCounter(token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    assert counter.documents([long + " a", long])[1] == [2, 1] and set(counter.seen) == {"a"}
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    first = encoder.encode([long, "a"])
+    assert set(encoder.pretokens) == {"a"} and encoder.characters == 5001 and encoder.encode([long, "a"]) == first
+    encoder.characters = packing.CHUNK_CHARACTERS + 1
+    assert encoder.encode([long, "a"]) == first and encoder.characters == 5001
+
+
 @pytest.mark.parametrize("n, words", [(300, 1), (2000, 1), (400, 4)])
 def test_trie_join(n, words):
     rng = np.random.default_rng(n)
