@@ -53,3 +53,38 @@ def test_empty(spark, planted):
 def test_run(spark):
     out = pipeline.run(spark, SF)
     assert out.count() > 1000 and out.select("sequence_id").distinct().count() == out.count()
+
+
+def test_simhash_similarity(spark):
+    """Groups hang together over pairs of five-word shingle sets from 0.8 on: all such pairs, short texts too, and no others."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("bcdfgaeiou", k=7))
+    docs, groups, at = [], [], 0
+
+    def plant(n, a, b, linked):  # n shared shingles, and a and b own ones at the end
+        nonlocal at
+        base = [word() for _ in range(n + 4)]
+        docs.extend([(at, " ".join(base + [word() for _ in range(a)])), (at + 1, " ".join(base + [word() for _ in range(b)]))])
+        groups.append((at, at + 1, linked))
+        at += 2
+
+    for _ in range(25):
+        for n, a, b in ((4, 0, 1), (12, 0, 3), (12, 1, 2), (5, 0, 1), (32, 4, 4), (36, 4, 5), (40, 0, 10), (400, 50, 50), (80, 10, 10)):
+            plant(n, a, b, True)
+        for n, a, b in ((3, 0, 1), (11, 0, 3), (300, 50, 50), (75, 12, 13), (30, 4, 4)):
+            plant(n, a, b, False)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {x["doc_id"] for x in (dict(pipeline.STAGES)["simhash"](spark, df, SF).collect())}
+    assert {a for a, _, _ in groups} <= kept
+    assert not [(a, b) for a, b, linked in groups if not linked and b not in kept]
+    missed = [(a, b) for a, b, linked in groups if linked and b in kept]
+    assert not [a for a, b in missed if len(docs[a][1].split()) <= 48] and len(missed) <= 2
+
+
+def test_simhash_texts_under_one_id(spark):
+    r = random.Random(3)
+    text = lambda: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(90))
+    a, b = text(), text()
+    df = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a + " more"), (3, b + " more")], "doc_id long, text string")
+    kept = (dict(pipeline.STAGES)["simhash"](spark, df, SF).collect())
+    assert sorted((x["doc_id"], x["text"]) for x in kept) == sorted([(1, a), (1, b)])
