@@ -5,7 +5,8 @@ consecutive tokens: the hash of the tokens at its kept positions ignores those b
 a passage with substituted words still shares some seeds. Seeds of benchmark items and of
 documents are joined; around each hit both texts are laid side by side, and the aligned
 tokens within REACH of the hit are compared. An overlap counts if at least SHARE of them,
-and at least LEAST, agree.
+and at least LEAST, agree; or if SHARE of any RUN aligned tokens that take in the hit's first
+one agree, so that a passage quoted from within an item counts whatever surrounds it.
 
 Positions are generated, hashed and looked up inside one generated-code stage: a document
 is never shuffled, only hits leave it. The seed table of the benchmark is broadcast if it
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 MASKS = ((0, 1, 2, 3, 4, 5, 6), (0, 1, 3, 4, 7, 8, 10), (0, 2, 3, 5, 6, 9, 11), (0, 1, 4, 6, 7, 9, 12))
 REACH = 10  # tokens compared on either side of a hit's first token: 10 before, 15 after
 AFTER = 15
+RUN = 13  # aligned tokens that are an overlap on their own
 SHARE, LEAST, LEAST_ITEM = 0.75, 7, 5
 BROADCAST_SEEDS = 500_000
 
@@ -77,7 +79,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROAD
     lo = F.greatest(F.col("q") - REACH, F.lit(0), F.col("q") - F.col("pos"))
     hi = F.least(F.col("q") + AFTER, F.size("item") - 1, F.col("q") + F.size("h") - 1 - F.col("pos"))
     near = F.size(F.filter(F.sequence(lo, hi), lambda j: F.get("h", F.col("pos") - F.col("q") + j) == F.get("item", j)))
-    judged = beside.withColumn("_near", near).withColumn("_n", hi - lo + 1).where((F.col("_near") >= F.greatest(F.lit(LEAST_ITEM), F.least(F.lit(LEAST), F.size("item")))) & (F.col("_near") >= SHARE * F.col("_n")) & (F.col("_n") >= F.least(F.lit(LEAST + 3), F.size("item"))))
+    around = (F.col("_near") >= F.greatest(F.lit(LEAST_ITEM), F.least(F.lit(LEAST), F.size("item")))) & (F.col("_near") >= SHARE * F.col("_n")) & (F.col("_n") >= F.least(F.lit(LEAST + 3), F.size("item")))
+    # runs that take in the hit's first token
+    left = F.greatest(F.col("q") - (RUN - 1), F.lit(0), F.col("q") - F.col("pos"))
+    right = F.least(F.col("q") + (RUN - 1), F.size("item") - 1, F.col("q") + F.size("h") - 1 - F.col("pos"))
+    agree = F.transform(F.sequence(left, right), lambda j: F.get("h", F.col("pos") - F.col("q") + j) == F.get("item", j))
+    within = F.exists(F.sequence(F.lit(1), F.size("_agree") - (RUN - 1)), lambda s: F.size(F.filter(F.slice("_agree", s, RUN), lambda x: x)) >= SHARE * RUN)
+    run = F.when(F.size("_agree") >= RUN, within).otherwise(False)
+    judged = beside.withColumn("_near", near).withColumn("_n", hi - lo + 1).withColumn("_agree", agree).where(around | run)
     start = F.col("pos") - F.col("q")
     first, last = F.greatest(F.lit(0), -start), F.least(F.size("item"), F.size("h") - start) - 1
     whole = F.size(F.filter(F.sequence(first, last), lambda j: F.get("h", start + j) == F.get("item", j)))

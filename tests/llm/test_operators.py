@@ -198,6 +198,27 @@ def test_decontamination(spark, odd):
     assert decontaminate.overlaps(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_quotations(spark):
+    """A quotation of 13 tokens or more counts wherever in the item it lies, also with a word replaced after a seed; a shorter one within does not."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    item = [word() for _ in range(45)]
+    filler = lambda: [word() for _ in range(60)]
+    docs, want = [], set()
+    for n in (13, 15, 17, 19, 20):
+        for at in range(45 - n + 1):
+            want.add(len(docs))
+            docs.append(filler() + item[at : at + n] + filler())
+    for at in range(33):
+        want.add(len(docs))
+        docs.append(filler() + item[at : at + 9] + [word()] + item[at + 10 : at + 13] + filler())
+    docs += [filler() + item[at : at + 9] + filler() for at in range(12, 24)] + [filler()]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    for limit in (10**6, 0):
+        assert {x["doc_id"] for x in rows(decontaminate.overlaps(df, bench, limit))} == want
+
+
 def test_decontamination_plan(spark):
     assert not re.search("Python|Pandas|Arrow", queries.op5_decontamination(spark, SF)._jdf.queryExecution().executedPlan().toString())
 
