@@ -47,19 +47,23 @@ class Encoder:
 
     New chunks of common Latin characters are cut into pre-tokens here, and those not yet
     known are encoded many at a time: the ids that end a word show where each one ends.
-    Any other chunk goes through the whole tokenizer.
+    Any other chunk goes through the whole tokenizer, and so does one that spells an added
+    token, such as the end of text, which the tokenizer gives that token's id.
     """
 
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")  # characters that no normalisation but lower-casing changes
     PRETOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")  # fixed value: the tokenizer's own pattern, within PLAIN
 
+    SEPARATORS = "\x1c\x1d\x1e\x1f"  # str.split takes them for white space, the tokenizer does not
+    CHUNKS = re.compile(r"[\S\x1c-\x1f]+")
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.words = Tokenizer(self.whole.model)
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         vocab = self.whole.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -73,6 +77,11 @@ class Encoder:
             kept[path] = cls(path)
         return kept[path]
 
+    @classmethod
+    def split(cls, text: str) -> list[str]:
+        """Chunks between what the tokenizer takes for white space."""
+        return cls.CHUNKS.findall(text) if any(c in text for c in cls.SEPARATORS) else text.split()
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -93,7 +102,7 @@ class Encoder:
         if len(self.chunks) > CHUNKS or self.characters > CHUNK_CHARACTERS:
             self.chunks, self.ids, self.characters = Numbers(), [], 0
         number, ids = self.chunks, self.ids
-        split = [list(map(number.__getitem__, t.split())) for t in texts]  # one look-up a chunk; new ones are numbered
+        split = [list(map(number.__getitem__, self.split(t))) for t in texts]  # one look-up a chunk; new ones are numbered
         new = list(itertools.islice(reversed(number), len(number) - len(ids)))[::-1]
         self._fill(new)
         return [b"".join(map(ids.__getitem__, s)) for s in split]
@@ -102,7 +111,7 @@ class Encoder:
         """Ids of newly numbered chunks, in order."""
         cut, other, found = [], [], {}
         for w in new:
-            if self.PLAIN.fullmatch(w):
+            if self.PLAIN.fullmatch(w) and not any(t in w for t in self.added):
                 cut.append(self.PRETOKENS.findall(w.lower()))
             else:
                 cut.append(None)

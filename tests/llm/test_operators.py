@@ -481,6 +481,19 @@ def test_encoder_is_the_tokenizer(text):
     assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.whole.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([*"aB é\x1c\x1d\x1e\x1f\x85\xa0\u2028\u200b\u0301\n'1.<|", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "word"]), max_size=20).map("".join))
+def test_encoder_is_a_fresh_tokenizer(text):
+    """Separators that str.split drops and spelled-out added tokens have the ids that the unaltered tokenizer gives them."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    fresh = FRESH.setdefault(path, Tokenizer.from_file(path))
+    for t in (text, "a\x1cb", "a\x1f b", "x<|endoftext|>y <|endoftext|>"):
+        assert np.frombuffer(packing.Encoder.get(path).encode([t])[0], "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
+
+
+FRESH = {}
+
+
 # shared
 
 
