@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import string
 import tempfile
 import zipfile
@@ -132,6 +133,26 @@ def chunks(batches, column: str, limit: int = CHUNK_BYTES):
             yield batch.slice(at)
 
 
+def whole(batches, name: str):
+    """Tables of batches sorted by a column, cut so that rows of one value are never parted."""
+    held: pa.Table | None = None  # rows of the last value, which may go on in the next batch
+    for b in itertools.chain(batches, [None]):
+        if b is not None and not len(b):
+            continue
+        if b is not None:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            key = held.column(name)
+            if key[0].as_py() == key[-1].as_py():
+                continue
+            cut = int(np.searchsorted(key.to_numpy(), key[-1].as_py()))
+            now, held = held.slice(0, cut), held.slice(cut).combine_chunks()
+        else:
+            now = held
+        if now is not None and len(now):
+            yield now
+
+
 _shipped: set[str] = set()
 
 

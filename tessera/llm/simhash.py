@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Spans, Words, checkpoint, chunks, map_arrow, mix
+from tessera.llm.common import Spans, Words, checkpoint, chunks, map_arrow, mix, whole
 from tessera.llm.components import connected_components
 
 LANES = np.uint64(0x0101010101010101)
@@ -239,26 +239,6 @@ def _subtries(key: np.ndarray, prints: np.ndarray, ids: np.ndarray, budget: int)
     return ids[root[member]], ids[member]
 
 
-def whole(batches, name: str):
-    """Tables of batches sorted by a column, cut so that rows of one value are never parted."""
-    held: pa.Table | None = None  # rows of the last value, which may go on in the next batch
-    for b in itertools.chain(batches, [None]):
-        if b is not None and not len(b):
-            continue
-        if b is not None:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            key = held.column(name)
-            if key[0].as_py() == key[-1].as_py():
-                continue
-            cut = int(np.searchsorted(key.to_numpy(), key[-1].as_py()))
-            now, held = held.slice(0, cut), held.slice(cut).combine_chunks()
-        else:
-            now = held
-        if now is not None and len(now):
-            yield now
-
-
 def links(nodes: DataFrame, tables: list[np.ndarray], budget: int, bits: int) -> DataFrame:
     """(a, b): links that connect all nodes(fingerprint, node) within the budget that some table brings together."""
     words = bits // 64

@@ -8,21 +8,24 @@ words also start in a document with a smaller doc_id. Three passes, each linear
    hashes that two documents have are kept in a bitmap, sized by their count up to
    MAX_BITS: a broadcast of proven bound. A full bitmap lets more windows into pass 2,
    which costs time and changes no result.
-2. Confirmation. Windows whose anchor recurs are hashed whole, in 64 bits, and grouped by
-   hash: the smallest document of each, kept where a larger one has it too. Each document
-   gets the list of its recurring windows that a smaller document starts.
-3. Location. Documents come with their confirmed windows. Their words form phrases, which
-   are compiled into Aho-Corasick automata over word numbers, a shard for each few
-   documents and at most SHARD_PHRASES of them, and the documents of the shard are streamed
-   through it. Occurrences are located word by word; words they cover are removed.
-   Shards follow the documents, so each document meets only phrases it can hold.
-
-That windows of two documents are equal rests on their 64-bit hashes: their words are not laid
-side by side. Of n distinct windows in pass 2 about n * n / 2**65 pairs collide by chance, and
-each would remove one window's words wrongly.
-
-A window counts once for each document in pass 1, and once for each chunk of text where it
-is gathered in pass 2, so no task gathers a whole group of a hot one.
+2. Shards. Consecutive windows with one recurring anchor are a unit: their words, where they
+   start and in which document. Units are dealt by anchor, so all places where a phrase can
+   occur meet in one shard, with their words.
+3. Automata. In a shard the windows that recur in several documents are its phrases. They
+   are compiled into Aho-Corasick automata over word numbers, SHARD_PHRASES in each, and all
+   units of the shard that can hold one are streamed through. Where a phrase occurs, and which
+   document has it first, is what the automata report; words they cover are removed.
+
+Hashes only propose: which windows are looked at, what meets in a shard, which windows become
+phrases. Two windows count as equal if their words are: the automata, or a comparison of the
+units' text, decide. A proposed window that no automaton reports shares a hash with other words
+and becomes a phrase of its own, so no collision adds or loses a match.
+
+Hot anchors. An anchor in more than HOT units (and in more than one of MAX_HOT of them all, so
+there are at most MAX_HOT such anchors to broadcast) is not a shard: each of its windows is a
+unit of its own, dealt by a hash of its words. Of equal units a chunk of text sends the smallest document's
+alone, others are decided where they are; in a shard, equal units that follow each other are
+decided as they pass. So no task gathers a whole group of a hot one.
 
 Defined cases: a null text has no words and stays null; a null doc_id is neither smaller nor
 larger than any other, so its text is kept and marks nothing; rows that share a doc_id do
@@ -37,18 +40,20 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Spans, Words, checkpoint, chunks, map_arrow, mix
+from tessera.llm.common import Spans, Words, checkpoint, chunks, map_arrow, mix, whole
 
 WINDOW = 13
 ANCHOR = 5
 ANCHOR_SHIFT = np.uint64(24)  # anchors are told apart by 40 bits: enough for a filter, and less to move
 MAX_BITS = 1 << 30  # of the anchor bitmap: 128 MB
+HOT, MAX_HOT = 2_000, 50_000
 SHARD_PHRASES = 30_000
-SHARD_TEXT = 1 << 18  # bytes of text that share automata
+SHARD_TEXT = 1 << 20  # bytes of text that are cut at a time
 
 
 def anchors(words: Words, spans: Spans, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +81,8 @@ def _windows(batches, size: int):
         yield b, w, spans, first, anchor
 
 
-def anchor_bitmap(docs: DataFrame, size: int) -> np.ndarray:
-    """Bits of the anchors that occur in two documents at least, at their hash modulo the number of bits."""
+def recurring_anchors(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the anchors that two documents at least have, at their hash modulo the number of bits; and the sorted hot anchors."""
 
     def run(batches):
         for b, w, _, first, anchor in _windows(batches, size):
@@ -86,88 +91,172 @@ def anchor_bitmap(docs: DataFrame, size: int) -> np.ndarray:
             new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
             yield pa.RecordBatch.from_arrays([pa.array((anchor[new] >> ANCHOR_SHIFT).view(np.int64)), b.column("doc_id").take(pa.array(doc[new]))], ["anchor", "doc_id"])
 
-    found = map_arrow(docs, run, "anchor long, doc_id long")
-    recurring = checkpoint(found.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("anchor"))
-    bits = min(MAX_BITS, max(1 << 15, 1 << (16 * recurring.count()).bit_length()))
+    found = map_arrow(docs.select("doc_id", "text"), run, "anchor long, doc_id long")
+    counts = found.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), F.count("*").alias("n"))
+    recurring = checkpoint(counts.where("_a < _b").select("anchor", "n"))
+    total = recurring.agg(F.count("*").alias("anchors"), F.coalesce(F.sum("n"), F.lit(0)).alias("units")).first()
+    bits = min(MAX_BITS, max(1 << 15, 1 << (16 * total["anchors"]).bit_length()))
     at = F.col("anchor").bitwiseAND(F.lit(bits - 1))
     rows = recurring.groupBy(F.shiftright(at, 15).alias("block")).agg(F.expr(f"bitmap_construct_agg(cast(anchor & {(1 << 15) - 1} as bigint))").alias("bits")).toLocalIterator()
     bitmap = np.zeros(bits // 8, np.uint8)
     for r in rows:  # MAX_BITS / 2**15 rows of 4 kB at most
         bitmap[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
-    return bitmap
+    hot = recurring.where(F.col("n") > max(HOT, total["units"] // MAX_HOT)).select("anchor").collect()  # at most MAX_HOT rows
+    return bitmap, np.sort(np.array([r["anchor"] for r in hot], np.int64))
 
 
-def recurring_windows(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, windows): hashes of the windows of each document that a smaller document starts.
+_UNIT = "key long, doc_id long, h long, at int, words int, text binary"
 
-    Within a chunk of text all documents but the smallest that hold a window are decided at
-    once; only the smallest meets those of other chunks, so a hot window sends one row for
-    each chunk. Decided rows travel under a key of their own document, the others under the
-    window, in one shuffle that the minima and the join back to them share.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(anchor_bitmap(docs, size))
+
+def units(docs: DataFrame, size: int) -> DataFrame:
+    """(key, doc_id, h, at, words, text): units of docs(doc_id, h, text) by shard key; text is null where all of the unit's words are known to go."""
+    held = docs.sparkSession.sparkContext.broadcast(recurring_anchors(docs, size))
 
     def run(batches):
-        bitmap = held.value
-        mask = np.uint64(8 * len(bitmap) - 1)
+        bitmap, hot = held.value
+        mask = np.int64(8 * len(bitmap) - 1)
         for b, w, spans, first, anchor in _windows(batches, size):
-            at = ((anchor >> ANCHOR_SHIFT) & mask).astype(np.int64)
-            first = first[(bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            h = spans.hash(w.start[first], w.end[first + size - 1]).view(np.int64)
-            doc = b.column("doc_id").to_numpy()[w.owner[first]]
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            group = np.ones(len(h), bool)
-            group[1:] = h[1:] != h[:-1]
-            new = group.copy()
-            new[1:] |= doc[1:] != doc[:-1]
-            h, doc, group = h[new], doc[new], group[new]
-            key = np.where(group, h, mix(doc.view(np.uint64), 9).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(doc)], ["key", "window", "doc_id"])
-
-    found = map_arrow(docs, run, "key long not null, window long not null, doc_id long not null").repartition("key")
-    least = found.groupBy("key").agg(F.min(F.when(F.col("key") == F.col("window"), F.col("doc_id"))).alias("_a"))
-    # a key of another name: without a clash of attributes both sides read the same exchange
-    marked = found.join(least.select(F.col("key").alias("_k"), "_a"), F.col("key") == F.col("_k")).where("key <> window or doc_id > _a")
-    return marked.groupBy("doc_id").agg(F.collect_list("window").alias("windows"))
-
-
-def _shard(texts: list[bytes], windows: list[np.ndarray | None], size: int) -> list[np.ndarray | None]:
-    """For each text, which of its words are covered by an occurrence of its windows; None if none is."""
-    some = [i for i, x in enumerate(windows) if x is not None]
-    out: list[np.ndarray | None] = [None] * len(texts)
-    if not some:
-        return out
-    w = Words(pa.array([texts[i] for i in some], pa.binary()))
+            anchor = (anchor >> ANCHOR_SHIFT).view(np.int64)
+            at = anchor & mask
+            chosen = (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            first, anchor = first[chosen], anchor[chosen]
+            if not len(first):
+                continue
+            alone = np.isin(anchor, hot)
+            owner = w.owner[first]
+            begin = np.ones(len(first), bool)
+            begin[1:] = (first[1:] != first[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]) | alone[1:]
+            begin = np.flatnonzero(begin)
+            start = first[begin]
+            end = first[np.append(begin[1:], len(first)) - 1] + size  # one past the last word
+            s, e = w.start[start], w.end[end - 1]
+            key = np.where(alone[begin], spans.hash(s, e).view(np.int64) | np.int64(-(2**63)), anchor[begin])
+            raw = w.data.tobytes()
+            texts: list[bytes | None] = [raw[x:y] for x, y in zip(s.tolist(), e.tolist())]
+            owner = owner[begin]
+            doc = b.column("doc_id").to_numpy()[owner]
+            least: dict[bytes, int] = {}
+            ids = doc.tolist()
+            for t, d in zip(texts, ids):
+                if least.setdefault(t, d) > d:
+                    least[t] = d
+            known = np.fromiter((least[t] < d for t, d in zip(texts, ids)), bool, len(ids))
+            for i in np.flatnonzero(known).tolist():
+                texts[i] = None
+            key = np.where(known, mix(doc.view(np.uint64), 9).view(np.int64), key)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(doc), b.column("h").take(pa.array(owner)), pa.array((start - w.doc[owner]).astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(texts, pa.binary())],
+                ["key", "doc_id", "h", "at", "words", "text"],
+            )
+
+    return map_arrow(docs, run, _UNIT)
+
+
+def occurrences(docs: np.ndarray, texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit and first word of each window in texts that a text of a smaller doc holds too; texts are words joined by one space."""
+    none = np.zeros(0, np.int64)
+    w = Words(texts)
     spans = Spans(w.data)
     first, last = w.grams(size)
-    h = spans.hash(w.start[first], w.end[last]).view(np.int64)
-    bound = np.searchsorted(first, w.doc)
+    if not len(first):
+        return none, none
+    # proposals: windows whose hash is in several documents
+    h, doc = spans.hash(w.start[first], w.end[last]), docs[w.owner[first]]
+    order = np.lexsort((doc, h))
+    edge = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    several = doc[order][edge] != doc[order][np.append(edge[1:], len(order)) - 1]
+    proposed = np.zeros(len(first), bool)
+    proposed[order] = np.repeat(several, np.diff(np.append(edge, len(order))))
+    example = order[edge[several]]  # a window of each proposed hash
+    if not len(example):
+        return none, none
     words = w.data.tobytes().split(b" ")
     number: dict[bytes, int] = {}
-    streams, phrases, allowed = [], {}, []
-    for k, i in enumerate(some):
-        streams.append(tuple([number.setdefault(x, len(number)) for x in words[w.doc[k] : w.doc[k + 1]]]))
-        own = h[bound[k] : bound[k + 1]]
-        wanted = np.isin(own, windows[i])
-        for at, key in zip((first[bound[k] : bound[k + 1]][wanted] - w.doc[k]).tolist(), own[wanted].tolist()):
-            phrases.setdefault(key, streams[k][at : at + size])
-        allowed.append(set(windows[i].tolist()))
-        out[i] = np.zeros(len(streams[k]) + 1, np.int32)
-    listed = list(phrases.items())
-    for at in range(0, len(listed), SHARD_PHRASES):
-        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, phrase in listed[at : at + SHARD_PHRASES]:
-            machine.add_word(phrase, key)
-        machine.make_automaton()
-        for k, i in enumerate(some):
-            if len(streams[k]) >= size:
-                ends = np.array([e for e, key in machine.iter(streams[k]) if key in allowed[k]], np.int64)
-                np.add.at(out[i], ends - size + 1, 1)
-                np.add.at(out[i], ends + 1, -1)
-    for i in some:
-        out[i] = np.cumsum(out[i])[:-1] > 0
-    return out
+    some = np.unique(w.owner[first[proposed]]).tolist()
+    streams = {k: tuple([number.setdefault(x, len(number)) for x in words[a:z]]) for k, a, z in zip(some, w.doc[some].tolist(), w.doc[np.array(some) + 1].tolist())}
+
+    def phrase(i: int) -> tuple[int, ...]:
+        k = int(w.owner[first[i]])
+        at = int(first[i] - w.doc[k])
+        return streams[k][at : at + size]
+
+    unit, ends, which, phrases = [], [], [], 0
+    todo = [phrase(i) for i in example.tolist()]
+    while todo:
+        for lo in range(0, len(todo), SHARD_PHRASES):
+            machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            for p in todo[lo : lo + SHARD_PHRASES]:
+                machine.add_word(p, phrases)
+                phrases += 1
+            machine.make_automaton()
+            for k, stream in streams.items():
+                for e, i in machine.iter(stream):
+                    unit.append(k)
+                    ends.append(e)
+                    which.append(i)
+        reported = w.doc[np.array(unit, np.int64)] + np.array(ends, np.int64) - (size - 1)
+        # proposed windows that no automaton has reported share a hash with other words
+        todo = list({phrase(i) for i in np.flatnonzero(proposed & ~np.isin(first, reported)).tolist()})
+    at_unit, at = np.array(unit, np.int64), np.array(ends, np.int64) - (size - 1)
+    which = np.array(which, np.int64)
+    least = np.full(phrases, np.iinfo(np.int64).max)
+    np.minimum.at(least, which, docs[at_unit])
+    later = docs[at_unit] > least[which]
+    return at_unit[later], at[later]
+
+
+def _ranges(unit: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit, first word and one past the last word of runs of consecutive windows."""
+    order = np.lexsort((at, unit))
+    unit, at = unit[order], at[order]
+    new = np.append(True, (unit[1:] != unit[:-1]) | (at[1:] != at[:-1] + 1))[: len(unit)]
+    begin = np.flatnonzero(new)
+    return unit[begin], at[begin], at[np.append(begin[1:], len(unit)) - 1] + size if len(unit) else at
+
+
+_COVER = ["doc_id", "h", "start", "end"]
+
+
+def _cover(b: pa.RecordBatch, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    base = b.column("at").to_numpy()[row]
+    row = pa.array(row)
+    return pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("h").take(row), pa.array((base + start).astype(np.int32)), pa.array((base + end).astype(np.int32))], _COVER)
+
+
+def covered(found: DataFrame, size: int) -> DataFrame:
+    """(doc_id, h, start, end): ranges of words to remove, from units dealt by key."""
+
+    def run(batches):
+        left: list[pa.RecordBatch] = []  # cover of units decided on the way
+
+        def open_units():
+            before = None  # key, text and smallest doc of the equal units before this batch
+            for b in batches:
+                if not len(b):
+                    continue
+                key, doc, text = b.column("key").to_numpy(), b.column("doc_id").to_numpy(), b.column("text")
+                known = text.is_null().to_numpy(zero_copy_only=False)
+                same = np.append(False, pc.fill_null(pc.equal(text[1:], text[:-1]), False).to_numpy(zero_copy_only=False) & (key[1:] == key[:-1]))
+                same[0] = before is not None and before[0] == key[0] and before[1] == text[0].as_py()
+                run_of = np.maximum.accumulate(np.where(same, -1, np.arange(len(b))))
+                least = np.where(run_of < 0, before[2] if before else 0, doc[np.maximum(run_of, 0)])
+                before = (key[-1], text[-1].as_py(), least[-1]) if not known[-1] else None
+                gone = known | (same & (doc > least))
+                row = np.flatnonzero(gone)
+                if len(row):
+                    left.append(_cover(b, row, np.zeros(len(row), np.int32), b.column("words").to_numpy()[row]))
+                if not gone.all():
+                    yield b.filter(pa.array(~gone))
+
+        for now in whole(open_units(), "key"):
+            yield from left
+            left.clear()
+            b = now.combine_chunks().to_batches()[0]
+            yield _cover(b, *_ranges(*occurrences(b.column("doc_id").to_numpy(), b.column("text"), size), size))
+        yield from left
+
+    dealt = found.repartition("key").sortWithinPartitions("key", "doc_id")
+    return map_arrow(dealt, run, "doc_id long, h long, start int, end int")
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -176,30 +265,31 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     A text that loses words is its kept words joined by one space; others stay as they are.
     kept_sha256 is the digest of the kept words joined by one space in either case.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = recurring_windows(slim.where("doc_id is not null and text is not null"), size)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(marks, rows["_id"] == marks["doc_id"], "left").select("rest", "text", "windows")
+    text = F.col("text").cast("string")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    cover = covered(units(slim.where("doc_id is not null and text is not null"), size), size)
+    # a set, so that rows repeated whole add nothing; at most a range for each word of the text
+    marks = cover.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_h"), text.alias("text"))
+    joined = rows.join(marks, (rows["_id"] == marks["doc_id"]) & (rows["_h"] == marks["h"]), "left").select("rest", "text", "ranges")
 
     def run(batches):
-        for b in batches:
-            for part in chunks([b], "text", SHARD_TEXT):
-                texts = part.column("text").cast(pa.large_binary()).to_pylist()
-                lists = part.column("windows")
-                windows = [np.array(lists[i].values) if lists[i].is_valid else None for i in range(len(part))]
-                covered = _shard([t or b"" for t in texts], windows, size)
-                kept, total, removed, digest = [], [], [], []
-                for t, c in zip(texts, covered):
-                    words = (t or b"").split()
-                    n = len(words)
-                    if c is not None and c.any():
-                        words = [x for x, gone in zip(words, c.tolist()) if not gone]
-                        t = b" ".join(words)
-                    kept.append(t)
-                    total.append(n)
-                    removed.append(n - len(words))
-                    digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column("rest"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest)], ["rest", "text", "n_words", "n_removed", "kept_sha256"])
+        for part in chunks(batches, "text", SHARD_TEXT):
+            kept, total, removed, digest = [], [], [], []
+            for t, ranges in zip(part.column("text").cast(pa.large_binary()).to_pylist(), part.column("ranges")):
+                words = (t or b"").split()
+                n = len(words)
+                if ranges.is_valid:
+                    cut = np.zeros(n + 1, np.int64)
+                    np.add.at(cut, ranges.values.field("start").to_numpy(), 1)
+                    np.add.at(cut, ranges.values.field("end").to_numpy(), -1)
+                    words = [x for x, gone in zip(words, np.cumsum(cut).tolist()) if not gone]
+                    t = b" ".join(words)
+                kept.append(t)
+                total.append(n)
+                removed.append(n - len(words))
+                digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays([part.column("rest"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest)], ["rest", "text", "n_words", "n_removed", "kept_sha256"])
 
     schema = T.StructType([joined.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     done = map_arrow(joined, run, schema)

@@ -436,17 +436,45 @@ def test_substrings(spark, texts, odd):
 def test_substring_shards(spark, monkeypatch):
     r = random.Random(4)
     docs = [(i, " ".join(r.choices("abc", k=r.randrange(80)))) for i in range(60)]
-    monkeypatch.setattr(substrings, "MAX_BITS", 1 << 15)
+    docs += [(7, docs[3][1]), (7, docs[3][1]), (None, docs[5][1]), (-9, docs[8][1] + " x"), (60, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert found(substrings.remove_repeats(df, 5).select("row.doc_id", "n_words", "n_removed", "kept_sha256")) == brute_substrings(docs, 5)
-    monkeypatch.setattr(substrings, "SHARD_PHRASES", 3)
-    texts = pa.array([b"a b a b a c a b a", b"q q q q"])
-    w = Words(texts)
-    first, last = w.grams(3)
-    h = Spans(w.data).hash(w.start[first], w.end[last]).view(np.int64)
-    aba = h[:1]  # the window "a b a"
-    covered = substrings._shard(texts.to_pylist(), [aba, None], 3)
-    assert covered[0].tolist() == [True] * 5 + [False] + [True] * 3 and covered[1] is None
+    got = lambda: found(substrings.remove_repeats(df, 5).select("row.doc_id", "n_words", "n_removed", "kept_sha256"))
+    want = brute_substrings(docs, 5)
+    assert got() == want
+    monkeypatch.setattr(substrings, "MAX_BITS", 1 << 15)
+    monkeypatch.setattr(substrings, "HOT", 10)  # hot anchors: a shard for each window
+    assert got() == want
+
+
+def test_substring_words_decide():
+    """Texts of one hash and different words share nothing; those of equal words do."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a  # Thue-Morse words collide under every polynomial hash modulo 2**64
+    tail = " ".join(f"w{i}" for i in range(12))
+    texts = [f"{a} {tail}", f"{b} {tail}", f"{b} {tail}", f"{a} {tail}"]
+    w = Words(pa.array(texts))
+    first, last = w.grams(13)
+    assert len(set(Spans(w.data).hash(w.start[first], w.end[last]).tolist())) == 1
+    unit, at = substrings.occurrences(np.arange(4), pa.array([t.encode() for t in texts]), 13)
+    assert sorted(zip(unit.tolist(), at.tolist())) == [(2, 0), (3, 0)]
+    unit, _ = substrings.occurrences(np.arange(2), pa.array([t.encode() for t in texts[:2]]), 13)
+    assert not len(unit)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.text("ab ", max_size=40)), max_size=8), st.sampled_from([1, 30_000]))
+def test_substring_automata(docs, phrases):
+    """What the automata report is what brute force finds."""
+    docs = [(i, " ".join(t.split())) for i, t in docs]
+    want = set()
+    for k, (i, t) in enumerate(docs):
+        w = t.split()
+        want |= {(k, p) for p in range(len(w) - 2) if any(tuple(w[p : p + 3]) in zip(x.split(), x.split()[1:], x.split()[2:]) for j, x in docs if j < i)}
+    kept, substrings.SHARD_PHRASES = substrings.SHARD_PHRASES, phrases
+    unit, at = substrings.occurrences(np.array([i for i, _ in docs], np.int64), pa.array([t.encode() for _, t in docs], pa.binary()), 3)
+    substrings.SHARD_PHRASES = kept
+    assert set(zip(unit.tolist(), at.tolist())) == want
 
 
 # 10 packing
