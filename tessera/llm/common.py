@@ -5,12 +5,15 @@ from __future__ import annotations
 import itertools
 import string
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # a random odd 64-bit number for each byte
@@ -34,6 +37,35 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Written to the shared folder and read again, and where; what is read has no partitioning, so a join may split its hot keys."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bitmap(df: DataFrame, column: str, count: int, most: int) -> np.ndarray:
+    """Bits of a long column's values at their low bits; about 16 for each of count values, and at most `most`."""
+    bits = min(most, max(1 << 15, 1 << (16 * count).bit_length()))
+    at = F.col(column).bitwiseAND(F.lit(bits - 1))
+    rows = df.groupBy(F.shiftright(at, 15).alias("block")).agg(F.expr(f"bitmap_construct_agg(cast({column} & {(1 << 15) - 1} as bigint))").alias("bits")).toLocalIterator()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:  # bits / 2**15 rows of 4 kB at most
+        out[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def in_bitmap(held: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values & np.int64(8 * len(held) - 1)
+    return (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -58,9 +90,13 @@ class Spans:
     """Hashes of arbitrary byte ranges of one buffer, each in constant time.
 
     A polynomial hash modulo 2**64 over random byte values: prefix sums are made once;
-    hash(s, e) is the difference of two of them, shifted to position 0 and mixed.
+    hash(s, e) is the difference of two of them, shifted to position 0 and mixed. Such hashes
+    have known collisions among texts of 1,024 bytes and more, so ranges of LONG bytes or more
+    are hashed one by one with XXH3 instead.
     """
 
+    LONG = 512
+
     _cache: tuple[np.ndarray, np.ndarray] | None = None
 
     def __init__(self, data: np.ndarray) -> None:
@@ -72,11 +108,17 @@ class Spans:
             up, self._down = _powers(_BASE, size), _powers(pow(_BASE, -1, 2**64), size)
             if size < 2 * CHUNK_BYTES:  # those of a very long text go with it
                 Spans._cache = up, self._down
+        self._data = data
         self._sum = np.zeros(n, np.uint64)
         np.cumsum(_BYTE[data] * up[: n - 1], out=self._sum[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sum[end] - self._sum[start]) * self._down[start] + (end - start).astype(np.uint64))
+        h = mix((self._sum[end] - self._sum[start]) * self._down[start] + (end - start).astype(np.uint64))
+        long = np.flatnonzero(end - start >= self.LONG)
+        if len(long):
+            raw = memoryview(self._data)
+            h[long] = [xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(start[long].tolist(), end[long].tolist())]
+        return h
 
 
 class Words:
