@@ -22,7 +22,7 @@ def _query(f):
 
 @_query
 def op6_simhash(spark, sf_dir):
-    found = simhash.near_duplicates(documents(spark, sf_dir), size=4, bits=64, budget=4)
+    found = simhash.near_duplicates(documents(spark, sf_dir), size=4, budget=4)
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 

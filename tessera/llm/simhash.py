@@ -1,47 +1,42 @@
 """SimHash near-duplicate detection by binary-trie self-joins.
 
-Fingerprints: each bit is the majority of that bit over the hashes of a document's word
-shingles, repeats included in 64 bits, distinct ones in wider fingerprints; a document of fewer words has one shingle, its whole word
+Fingerprints: each bit is the majority of that bit over the XXH64 of a document's word
+shingles, repeats included; a document of fewer words has one shingle, its whole word
 sequence; one without words has fingerprint zero.
 
-Join: equal fingerprints are collapsed first. A pair within the error budget agrees on
-some chosen set of bits, so for each such set (a table) the fingerprints are read as
-paths of a binary trie that starts with these bits: subtries under different starts are
-independent tasks. Below a start, pairs of nodes are traversed together; the differing
-bits of their paths are added up, and a pair is dropped once they exceed the budget.
-A pair of nodes whose members all hang together already is dropped too, and a task returns
-one link for each member of what hangs together, never all pairs of a group.
-
-With a similarity, the budget only proposes: groups that hang together within it are read
-again, and a link counts if the Jaccard similarity of the two sets of distinct shingles
-reaches it, so a group is what hangs together over such links. Texts of up to SHORT
-shingles, whose fingerprints say little, are proposed by their sets alone: two sets that are
-so alike share one of the few smallest shingle hashes of each, which is exact. Sets are compared
-by 40-bit hashes of shingles; equal sets are one node, named by 64 bits.
+Join: equal fingerprints are collapsed first: they are one node, whatever their documents.
+A pair within the error budget agrees on some chosen set of bits, so for each such set (a
+table) the fingerprints are read as paths of a binary trie that starts with these bits:
+subtries under different starts are independent tasks. Below a start, pairs of nodes are
+traversed together; the differing bits of their paths are added up, and a pair is dropped
+once they exceed the budget. A pair of nodes whose members all hang together already is
+dropped too, and a task returns one link for each member of what hangs together, never all
+pairs of a group. Subtries of up to SMALL members are leaves: their members are compared
+directly, many starts at a time; on ordinary data, whose starts are short of company, most
+pairs are decided there.
 
 Defined cases: null text counts as empty; all documents without words link to each
-other; repeated rows are each returned; rows that share a doc_id are one node; a null
-doc_id gets its group's component; an empty table gives no rows; other columns are ignored.
+other; repeated rows are each returned; rows that share a doc_id are documents of their own;
+a null doc_id gets its group's component and names none, so a group of null ids alone has a
+null component_id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Spans, Words, checkpoint, chunks, map_arrow, mix, whole
+from tessera.llm.common import Words, checkpoint, chunks, map_arrow, mix, whole
 from tessera.llm.components import connected_components
 
 LANES = np.uint64(0x0101010101010101)
-SMALL = 48  # subtries up to this size are compared side by side, larger ones by traversal
+SMALL = 48  # subtries under one start up to this size are leaves, larger ones are traversed
 LEAF = 64  # node pairs up to this size are compared directly
-SHORT = 40  # texts of up to so many distinct shingles are found by their shingle sets, not by fingerprints
 
 
 def xxh64(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -51,18 +46,6 @@ def xxh64(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.fromiter(found, np.uint64, len(first))
 
 
-_OWN = np.uint64(40)  # bits of a shingle's hash that tell it from others of its document
-
-
-def distinct(words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and hash of each document's distinct shingles, so that a line repeated a thousand times weighs as one."""
-    h = Spans(words.data).hash(words.start[first], words.end[last]) >> (np.uint64(64) - _OWN)
-    h |= words.owner[first].astype(np.uint64) << _OWN
-    h.sort()
-    h = h[np.append(True, h[1:] != h[:-1])] if len(h) else h
-    return (h >> _OWN).astype(np.int64), h & np.uint64((1 << int(_OWN)) - 1)
-
-
 def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Bits set in over half of each group's hashes; groups are contiguous and not empty.
 
@@ -82,33 +65,37 @@ def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _majorities(h: np.ndarray, n: np.ndarray, bits: int, sets: bool) -> pa.Array:
-    """Fingerprints of n[i] hashes each, laid end to end."""
+def prints_of(h: np.ndarray, n: np.ndarray, words: int = 1) -> np.ndarray:
+    """Fingerprints (len(n) x words) of n[i] hashes each, laid end to end; each word over an independent hash, the first over h itself."""
+    out = np.zeros((len(n), words), np.uint64)
     some = np.flatnonzero(n)
-    out = np.zeros((len(n), bits // 64), ">u8")
     if len(some):
-        for k in range(bits // 64):
-            out[some, k] = majority(mix(h, k + 1) if sets else h, n[some])
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits // 8), len(n), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
+        for k in range(words):
+            out[some, k] = majority(mix(h, k) if k else h, n[some])
+    return out
 
 
-def fingerprints(docs: DataFrame, size: int = 4, bits: int = 64, plain: bool = False) -> DataFrame:
-    """(doc_id, fingerprint binary, most significant bit first).
+def packed(prints: np.ndarray) -> pa.Array:
+    """Fingerprints as binary values, most significant bit first."""
+    width = 8 * prints.shape[1]
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(prints), [None, pa.py_buffer(prints.astype(">u8").tobytes())]).cast(pa.binary())
 
-    64 bits are the majority over the XXH64 of all shingles, repeats included; wider
-    fingerprints over independent hashes of the distinct shingles.
-    """
-    sets = bits > 64
+
+def unpacked(column: pa.Array | pa.ChunkedArray, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+
+
+def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
+    """(doc_id, fingerprint binary, node): the majority bits over the XXH64 of all shingles, repeats included; node is the same 64 bits as a number."""
 
     def run(batches):
         for b in chunks(batches, "text"):
-            w = Words(b.column("text"), lower=True, plain=plain)
+            w = Words(b.column("text"), lower=True)
             first, last = w.shingles(size)
-            owner, h = distinct(w, first, last) if sets else (w.owner[first], xxh64(w, first, last))
-            n = np.bincount(owner, minlength=len(b)) if len(owner) else np.zeros(len(b), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), _majorities(h, n, bits, sets)], ["doc_id", "fingerprint"])
+            prints = prints_of(xxh64(w, first, last), np.bincount(w.owner[first], minlength=len(b)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), packed(prints), pa.array(prints[:, 0].view(np.int64))], ["doc_id", "fingerprint", "node"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fingerprint binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fingerprint binary, node long")
 
 
 def exact_tables(bits: int, budget: int, n: int) -> list[np.ndarray]:
@@ -124,14 +111,6 @@ def exact_tables(bits: int, budget: int, n: int) -> list[np.ndarray]:
     return tables
 
 
-def likely_tables(bits: int, rate: float, recall: float, n: int) -> list[np.ndarray]:
-    """Random bit sets, as many as find a pair that differs in this share of bits with probability recall."""
-    length = max(16, math.ceil(math.log2(max(n, 1))))
-    count = math.ceil(math.log(1 - recall) / math.log1p(-((1 - rate) ** length)))
-    rng = np.random.default_rng(11)
-    return [np.sort(rng.choice(bits, length, replace=False)) for _ in range(count)]
-
-
 class Forest:
     """Union-find over positions 0..n-1, with arrays for vectorised look-ups."""
 
@@ -239,204 +218,45 @@ def _subtries(key: np.ndarray, prints: np.ndarray, ids: np.ndarray, budget: int)
     return ids[root[member]], ids[member]
 
 
-def links(nodes: DataFrame, tables: list[np.ndarray], budget: int, bits: int) -> DataFrame:
-    """(a, b): links that connect all nodes(fingerprint, node) within the budget that some table brings together."""
+def trie_join(keyed: DataFrame, budget: int, bits: int) -> DataFrame:
+    """(a, b): links that connect, under each key, all nodes of keyed(key, fingerprint, node) within the budget."""
     words = bits // 64
 
-    def unpack(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, bits // 8)
-
-    def starts(batches):
-        for b in batches:
-            if not len(b):
-                continue
-            each = np.unpackbits(unpack(b.column("fingerprint")), axis=1)
-            for t, chosen in enumerate(tables):
-                weights = np.left_shift(np.int64(1), np.arange(len(chosen), dtype=np.int64))
-                key = each[:, chosen] @ weights * len(tables) + t
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("fingerprint"), b.column("node")], ["key", "fingerprint", "node"])
-
     def traverse(batches):
         for now in whole(batches, "key"):
-            prints = unpack(now.column("fingerprint")).view(">u8").astype(np.uint64).reshape(-1, words)
-            a, c = _subtries(now.column("key").to_numpy(), prints, now.column("node").to_numpy(), budget)
+            a, c = _subtries(now.column("key").to_numpy(), unpacked(now.column("fingerprint"), words), now.column("node").to_numpy(), budget)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
 
-    keyed = map_arrow(nodes.select("fingerprint", "node"), starts, "key long, fingerprint binary, node long")
     found = map_arrow(keyed.repartition("key").sortWithinPartitions("key"), traverse, "a long, b long")
-    # a member has a root in each table at most; a chain through them, which most members share, links as much
+    # a member has a root under each key at most; a chain through them, which most members share, links as much
     roots = found.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("r"))
     chain = F.concat(F.array(F.struct(F.col("r")[0].alias("a"), F.col("b"))), F.transform(F.sequence(F.lit(0), F.size("r") - 2), lambda i: F.struct(F.get("r", i).alias("a"), F.get("r", i + 1).alias("b"))))
     one = F.array(F.struct(F.col("r")[0].alias("a"), F.col("b")))
     return roots.select(F.inline(F.when(F.size("r") > 1, chain).otherwise(one))).distinct()
 
 
-def _prefix(sizes: np.ndarray, similarity: float) -> np.ndarray:
-    """How many of a set's first shingles, in any order common to all sets, one of which every set so alike shares."""
-    return sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
-
-
-def alike(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
-    """For each of some sets, none of them empty and laid end to end, the first set it hangs together with over exact links."""
-    n, at = len(sizes), np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(n), sizes)
-    _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
-    token = rank[token]
-    token = token[np.lexsort((token, owner))]  # each set from its rarest shingle on
-    first = _prefix(sizes, similarity)
-    early = np.arange(len(token)) - at[owner] < first[owner]
-    order = np.argsort(token[early], kind="stable")
-    posted, edge = owner[early][order], np.searchsorted(token[early][order], np.arange(len(count) + 1))
-    root, has, left = np.full(n, -1), np.zeros(len(count), bool), n
-    for i in range(n):
-        if root[i] >= 0:
-            continue
-        root[i], todo, left = i, [i], left - 1
-        while todo and left:
-            p = todo.pop()
-            mine = token[at[p] : at[p] + sizes[p]]
-            near = mine[: first[p]]
-            near = near[edge[near + 1] - edge[near] > 1].tolist()
-            if not near:
-                continue
-            near = np.unique(np.concatenate([posted[edge[t] : edge[t + 1]] for t in near]))
-            near = near[root[near] < 0]
-            near = near[np.minimum(sizes[near], sizes[p]) >= similarity * np.maximum(sizes[near], sizes[p])]
-            if not len(near):
-                continue
-            has[mine] = True
-            begin = np.cumsum(sizes[near]) - sizes[near]
-            held = has[token[np.repeat(at[near] - begin, sizes[near]) + np.arange(int(sizes[near].sum()))]]
-            has[mine] = False
-            shared = np.add.reduceat(held.astype(np.int64), begin)
-            found = near[shared >= similarity * (sizes[near] + sizes[p] - shared)]
-            root[found], left = i, left - len(found)
-            todo += found.tolist()
-    return root
-
-
-def _verified(similarity: float):
-    """Of rows (key, node, set) sorted by key, the links among the sets of each key."""
-
-    def run(batches):
-        for now in whole(batches, "key"):
-            key, node = now.column("key").to_numpy(), now.column("node").to_numpy()
-            sets = now.column("set").to_pylist()
-            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist() + [len(key)]
-            a, b = [], []
-            for lo, hi in zip(edge, edge[1:]):
-                if hi - lo > 1:
-                    sizes = np.array([len(x) // 8 for x in sets[lo:hi]])
-                    root = alike(np.frombuffer(b"".join(sets[lo:hi]), np.uint64), sizes, similarity)
-                    member = np.flatnonzero(root != np.arange(hi - lo))
-                    a.append(node[lo + root[member]])
-                    b.append(node[lo + member])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    return run
-
-
-def shingle_sets(docs: DataFrame, size: int, plain: bool, most: int | None = None, bits: int = 0) -> DataFrame:
-    """The columns of docs but text; node, n, fingerprint of so many bits, and set: a text's n distinct shingles as sorted 8-byte hashes, null beyond most.
-
-    Texts of equal sets have the same node; that of a text without words is 0.
-    """
-    names = [c for c in docs.columns if c != "text"]
-
-    def run(batches):
-        for b in chunks(batches, "text"):
-            w = Words(b.column("text"), lower=True, plain=plain)
-            owner, h = distinct(w, *w.shingles(size))
-            n = np.bincount(owner, minlength=len(b)) if len(owner) else np.zeros(len(b), np.int64)
-            total = np.zeros(len(b), np.uint64)
-            some = np.flatnonzero(n)
-            at = np.append(0, np.cumsum(n))
-            if len(some):
-                total[some] = mix(np.add.reduceat(mix(h, 77), at[some]) + n[some].astype(np.uint64))
-            sets = [h[at[i] : at[i + 1]].tobytes() if most is None or n[i] <= most else None for i in range(len(b))]
-            columns = [*(b.column(c) for c in names), pa.array(total.view(np.int64)), pa.array(n.astype(np.int64)), _majorities(h, n, bits, True) if bits else pa.nulls(len(b), pa.binary()), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "node", "n", "fingerprint", "set"])
-
-    return map_arrow(docs, run, ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names) + ", node long, n long, fingerprint binary, set binary")
-
-
-def short_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that connect all nodes(node, set) whose sets are alike; found by their smallest shingles, which pairs so alike share."""
+def links(nodes: DataFrame, tables: list[np.ndarray], budget: int, bits: int) -> DataFrame:
+    """(a, b): links that connect all nodes(fingerprint, node) within the budget that some table brings under one start."""
 
     def starts(batches):
         for b in batches:
-            sets = b.column("set").to_pylist()
-            if not sets:
+            if not len(b):
                 continue
-            sizes = np.array([len(x) // 8 for x in sets])
-            first = _prefix(sizes, similarity)
-            flat = np.frombuffer(b"".join(sets), np.int64)
-            at = np.cumsum(sizes) - sizes
-            row = np.repeat(np.arange(len(sets)), first)
-            key = flat[at[row] + np.arange(len(row)) - (np.cumsum(first) - first)[row]]
-            yield pa.RecordBatch.from_arrays([pa.array(key), b.column("node").take(pa.array(row)), b.column("set").take(pa.array(row))], ["key", "node", "set"])
-
-    keyed = map_arrow(nodes.select("node", "set"), starts, "key long, node long, set binary")
-    return map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _verified(similarity), "a long, b long")
-
-
-def similar(docs: DataFrame, size: int, bits: int, budget: int, recall: float | None, plain: bool, similarity: float) -> DataFrame:
-    """(doc_id, _h, component): for each row its id, its text's hash and its group over links of this similarity; groups are named by a node."""
-    limit = math.floor(SHORT / similarity + 1e-9)  # a short text's partners have no more shingles
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("_h"), F.col("text").cast("string").alias("text"))
-    prints = checkpoint(shingle_sets(texts, size, plain, limit, bits))
-    nodes = checkpoint(prints.groupBy("node").agg(F.min("n").alias("n"), F.min("fingerprint").alias("fingerprint"), F.min("set").alias("set"), F.min(F.struct("doc_id", "_h")).alias("first")))
-    wide = nodes.where(F.col("n") > SHORT)
-    n = wide.count()
-    tables = exact_tables(bits, budget, n) if recall is None else likely_tables(bits, budget / bits, recall, n)
-    proposed = connected_components(links(wide, tables, budget, bits))
-    # one text of each proposed node is read again, so that its whole set is there to compare
-    again = proposed.join(wide.select("node", "first"), "node").select(F.col("component").alias("key"), F.col("first.doc_id").alias("_id"), F.col("first._h").alias("_t")).distinct()
-    read = texts.join(again, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t"))).select("key", "_id", "_t", "text").dropDuplicates(["_id", "_t"])
-    sets = shingle_sets(read.select("key", "text"), size, plain).select("key", "node", "set")
-    checked = map_arrow(sets.repartition("key").sortWithinPartitions("key"), _verified(similarity), "a long, b long")
-    short = short_links(nodes.where(F.col("n").between(1, limit)), similarity)
-    found = connected_components(checked.union(short))
-    return prints.select("doc_id", "_h", "node").join(found, "node", "left").select("doc_id", "_h", F.coalesce("component", "node").alias("component"))
-
-
-def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 64, budget: int = 4, recall: float | None = None, plain: bool = False) -> DataFrame:
-    """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable over links.
-
-    Fingerprints link at budget or fewer differing bits. Without recall every link counts;
-    with it, each pair at the edge of the budget is found with that probability, and closer
-    ones more surely: for budgets too wide for an exact search.
-    """
-    prints = checkpoint(fingerprints(docs, size, bits, plain))
-    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
-    nodes = checkpoint(nodes)
-    n = nodes.count()
-    tables = exact_tables(bits, budget, n) if recall is None else likely_tables(bits, budget / bits, recall, n)
-    found = connected_components(links(nodes.where("node is not null"), tables, budget, bits))
-    named = nodes.join(found, "node", "left").select(F.col("fingerprint").alias("_f"), F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, F.col("fingerprint") == F.col("_f")).select("doc_id", "fingerprint", "component_id")
-
-
-def keep_one(docs: DataFrame, similarity: float | None = None, **options) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id, with all its columns.
-
-    Options are those of near_duplicates; with a similarity, groups hang together over links
-    that reach it. Of several rows with that doc_id the one whose text has the smallest hash
-    stays, once. Rows without a doc_id cannot be told apart by it: they are kept.
-    """
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
-    if similarity is None:
-        found = near_duplicates(docs, **options).where("doc_id is not null")
-        # an id stays if it leads the group of one of its rows
-        leaders = found.groupBy("doc_id").agg(F.min("component_id").alias("_c")).where("_c = doc_id").select(F.col("doc_id").alias("_lead"))
-        kept, one = rows.join(leaders, F.col("_id") == F.col("_lead"), "left_semi"), ["_id"]
-    else:
-        found = similar(docs, similarity=similarity, **options).where("doc_id is not null")
-        leaders = found.groupBy("component").agg(F.min(F.struct("doc_id", "_h")).alias("l")).select(F.col("l.doc_id").alias("_lead"), F.col("l._h").alias("_lead_h"))
-        kept, one = rows.join(leaders, (F.col("_id") == F.col("_lead")) & (F.col("_h") == F.col("_lead_h")), "left_semi"), ["_id", "_h"]
-    numbered = kept.withColumn("_n", F.row_number().over(Window.partitionBy(*one).orderBy("_h")))
-    return numbered.where("_n = 1").select("row.*").unionByName(rows.where("_id is null").select("row.*"))
+            each = np.unpackbits(np.frombuffer(b"".join(b.column("fingerprint").to_pylist()), np.uint8).reshape(-1, bits // 8), axis=1)
+            for t, chosen in enumerate(tables):
+                weights = np.left_shift(np.int64(1), np.arange(len(chosen), dtype=np.int64))
+                key = each[:, chosen] @ weights * len(tables) + t
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("fingerprint"), b.column("node")], ["key", "fingerprint", "node"])
+
+    return trie_join(map_arrow(nodes.select("fingerprint", "node"), starts, "key long, fingerprint binary, node long"), budget, bits)
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4) -> DataFrame:
+    """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable over links of budget or fewer differing bits; every link counts."""
+    prints = checkpoint(fingerprints(docs, size))
+    nodes = checkpoint(prints.groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), F.min("doc_id").alias("least")))
+    found = connected_components(links(nodes, exact_tables(64, budget, nodes.count()), budget, 64))
+    grouped = nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = grouped.join(least, "component").select(F.col("node").alias("_n"), "component_id")
+    return prints.join(named, F.col("node") == F.col("_n")).select("doc_id", "fingerprint", "component_id")

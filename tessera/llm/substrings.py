@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Spans, Words, checkpoint, chunks, map_arrow, mix, whole
+from tessera.llm.common import Spans, Words, bitmap, checkpoint, chunks, in_bitmap, map_arrow, mix, whole
 
 WINDOW = 13
 ANCHOR = 5
@@ -95,14 +95,9 @@ def recurring_anchors(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
     counts = found.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), F.count("*").alias("n"))
     recurring = checkpoint(counts.where("_a < _b").select("anchor", "n"))
     total = recurring.agg(F.count("*").alias("anchors"), F.coalesce(F.sum("n"), F.lit(0)).alias("units")).first()
-    bits = min(MAX_BITS, max(1 << 15, 1 << (16 * total["anchors"]).bit_length()))
-    at = F.col("anchor").bitwiseAND(F.lit(bits - 1))
-    rows = recurring.groupBy(F.shiftright(at, 15).alias("block")).agg(F.expr(f"bitmap_construct_agg(cast(anchor & {(1 << 15) - 1} as bigint))").alias("bits")).toLocalIterator()
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for r in rows:  # MAX_BITS / 2**15 rows of 4 kB at most
-        bitmap[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    held = bitmap(recurring, "anchor", total["anchors"], MAX_BITS)
     hot = recurring.where(F.col("n") > max(HOT, total["units"] // MAX_HOT)).select("anchor").collect()  # at most MAX_HOT rows
-    return bitmap, np.sort(np.array([r["anchor"] for r in hot], np.int64))
+    return held, np.sort(np.array([r["anchor"] for r in hot], np.int64))
 
 
 _UNIT = "key long, doc_id long, h long, at int, words int, text binary"
@@ -113,12 +108,10 @@ def units(docs: DataFrame, size: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(recurring_anchors(docs, size))
 
     def run(batches):
-        bitmap, hot = held.value
-        mask = np.int64(8 * len(bitmap) - 1)
+        recurring, hot = held.value
         for b, w, spans, first, anchor in _windows(batches, size):
             anchor = (anchor >> ANCHOR_SHIFT).view(np.int64)
-            at = anchor & mask
-            chosen = (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            chosen = in_bitmap(recurring, anchor)
             first, anchor = first[chosen], anchor[chosen]
             if not len(first):
                 continue

@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm import chat, components, decontaminate, fingerprints, langid, packing, queries, simhash, substrings, token_counts, toxicity, warc
+from tessera.llm import chat, components, decontaminate, fingerprints, langid, near, packing, queries, simhash, substrings, token_counts, toxicity, warc
 from tessera.llm.common import Spans, Words
 from tests.oracle import assert_same
 
@@ -219,6 +219,23 @@ def test_decontamination_quotations(spark):
         assert {x["doc_id"] for x in rows(decontaminate.overlaps(df, bench, limit))} == want
 
 
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_SEEDS, 0])
+def test_decontamination_paths(spark, most, monkeypatch):
+    """Rows that share an id, or have none, are judged by their own texts, whichever way the seeds meet."""
+    r = random.Random(2)
+    item = [f"q{i}" for i in range(30)]
+    fill = lambda n: [f"f{r.random()}".replace(".", "") for _ in range(n)]
+    half = " ".join(fill(20) + item[:15] + fill(40))
+    docs = [(1, half), (1, " ".join(fill(60))), (1, half), (2, " ".join(item)), (None, " ".join(fill(3) + item)), (None, " ".join(fill(9))), (3, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' as _bad", "'y' as t", "1 as row", "2 as _h")
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    got = {x["doc_id"]: (x["start"], x["length"], x["matched"]) for x in rows(decontaminate.overlaps(df, bench, most))}
+    assert got == {1: (20, 30, 15), 2: (0, 30, 30), None: (3, 30, 30)}
+    monkeypatch.setattr(decontaminate.alignments, "__defaults__", (most,))
+    kept = decontaminate.clean(df, bench, most)
+    assert kept.columns == df.columns and sorted((str(x["doc_id"]), x["text"]) for x in rows(kept) if x["text"]) == sorted([("1", docs[1][1]), ("None", docs[5][1])]) and kept.count() == 3
+
+
 def test_decontamination_plan(spark):
     assert not re.search("Python|Pandas|Arrow", queries.op5_decontamination(spark, SF)._jdf.queryExecution().executedPlan().toString())
 
@@ -258,17 +275,52 @@ def test_simhash(spark, texts, odd):
     assert len(out) == len(ODD) and {r["component_id"] for r in out if r["doc_id"] in (1, 2, 3)} == {1}
     assert {r["component_id"] for r in out if r["doc_id"] in (5, 6, None)} == {5} and {r["component_id"] for r in out if r["doc_id"] in (7, 8)} == {7}
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
-    kept = simhash.keep_one(odd, size=5, bits=256, budget=44, recall=0.95, plain=True)
-    assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in rows(kept)) == ["1", "4", "5", "7", "9", "None"]
+    kept = near.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in rows(kept)) == ["1", "4", "5", "7", "9"]
+    assert near.keep_one(odd.limit(0)).count() == 0
+
+
+def test_simhash_clashing_ids(spark):
+    """Documents of their own under one id or none: near copies of either text group with that text alone."""
+    r = random.Random(3)
+    text = lambda: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(90))
+    a, b, c = text(), text(), text()
+    df = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a + " more"), (3, b + " more"), (None, c), (None, c), (None, c + " more"), (None, a)], "doc_id long, text string")
+    kept = sorted((str(x["doc_id"]), x["text"]) for x in rows(near.keep_one(df)))
+    assert [x for x in kept if x[0] == "1"] == sorted([("1", a), ("1", b)]) and len(kept) == 3 and kept[-1][0] == "None" and kept[-1][1] in (c, c + " more")
+    out = rows(simhash.near_duplicates(df))
+    assert len(out) == 9 and {x["component_id"] for x in out if x["doc_id"] is not None} == {1}
 
 
-def test_wide_prints_take_distinct_shingles(spark):
+def test_sets_take_distinct_shingles(spark):
     words = [f"w{i}" for i in range(60)]
     line = " one line that is repeated"
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words) + line * 300), (3, " ".join(w + "x" for w in words) + line * 300), (4, " ".join(words) + line * 2)], "doc_id long, text string")
-    prints = {r["doc_id"]: int.from_bytes(r["fingerprint"]) for r in rows(simhash.fingerprints(df, 5, 512, plain=True))}
-    assert prints[2] == prints[4] and (prints[1] ^ prints[2]).bit_count() < 86 < (prints[2] ^ prints[3]).bit_count()
-    assert [r["component_id"] for r in sorted(rows(simhash.near_duplicates(df, 5, 512, 86, 0.95, True)), key=lambda r: r["doc_id"])] == [1, 1, 3, 1]
+    got = {r["doc_id"]: r for r in rows(near.shingle_sets(df, 5))}
+    assert got[2]["node"] == got[4]["node"] and got[2]["set"] == got[4]["set"] and len(got[1]["set"]) == 8 * 56 == 8 * got[1]["n"]
+    assert sorted(r["doc_id"] for r in rows(near.keep_one(df))) == [1, 3]  # 56 of 65 shingles in common
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    """Crowds of near copies and texts that merely share a line: the same groups, in blocks."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    base, line = [word() for _ in range(200)], [word() for _ in range(40)]
+    docs = []
+    for i in range(200):
+        t = list(base)
+        for k in r.sample(range(200), 2):
+            t[k] = word()
+        docs.append((i, " ".join(t)))
+    docs += [(1000 + i, " ".join([word() for _ in range(40)] + line)) for i in range(120)]
+    docs += [(2000 + i, docs[200 + i][1] + " and") for i in range(20)]
+    docs += [(3000 + i, " ".join([*line[:20], word()])) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(x["doc_id"] for x in rows(near.keep_one(df)))
+    assert want == [0, *range(1000, 1120), 3000]
+    for name, value in (("HOT", 12), ("WHOLE", 40), ("ANCHORS", 6)):
+        monkeypatch.setattr(near, name, value)
+    assert sorted(x["doc_id"] for x in rows(near.keep_one(df))) == want
 
 
 def test_caches_hold_no_long_words():
@@ -446,7 +498,7 @@ def test_substring_shards(spark, monkeypatch):
     assert got() == want
 
 
-def test_substring_words_decide():
+def test_substring_words_decide(monkeypatch):
     """Texts of one hash and different words share nothing; those of equal words do."""
     a, b = "a", "b"
     for _ in range(10):
@@ -455,6 +507,8 @@ def test_substring_words_decide():
     texts = [f"{a} {tail}", f"{b} {tail}", f"{b} {tail}", f"{a} {tail}"]
     w = Words(pa.array(texts))
     first, last = w.grams(13)
+    assert len(set(Spans(w.data).hash(w.start[first], w.end[last]).tolist())) == 2
+    monkeypatch.setattr(Spans, "LONG", 1 << 40)  # without the other hash for long ranges
     assert len(set(Spans(w.data).hash(w.start[first], w.end[last]).tolist())) == 1
     unit, at = substrings.occurrences(np.arange(4), pa.array([t.encode() for t in texts]), 13)
     assert sorted(zip(unit.tolist(), at.tolist())) == [(2, 0), (3, 0)]

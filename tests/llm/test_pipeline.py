@@ -45,6 +45,14 @@ def test_stages(spark, planted):
     assert set(ids(packed)) == every
 
 
+def test_clashing_columns(spark, planted):
+    extra = ["_bad", "_removed", "row", "rest", "windows", "_id", "_h", "_t", "key", "node", "component", "t", "h", "ranges", "n_removed"]
+    wide = planted.selectExpr("*", *[f"doc_id as {c}" for c in extra])
+    for name, f in pipeline.STAGES[:-1]:
+        out = f(spark, wide, SF)
+        assert out.columns == wide.columns and all(r[c] == r["doc_id"] for r in out.collect() for c in extra), name
+
+
 def test_empty(spark, planted):
     for name, f in pipeline.STAGES:
         assert f(spark, planted.limit(0), SF).count() == 0, name
