@@ -2,9 +2,10 @@
 
 Turns of a conversation are cut into windows of at most BUDGET tokens, at turn borders, by
 running sums of turn tokens, counted over formatted turns: template and escapes are paid
-for, and each turn costs a token at least, so no run of empty texts outgrows a window. Every window opens with the conversation's system turn, if it
-has one, and repeats turns from the end of the window before it, HISTORY tokens of them at
-most. The loss mask covers assistant texts, each in the one window where it is new.
+for, and each turn costs a token at least, so no run of empty texts outgrows a window. Every
+window opens with the system turn in force, that which leads the conversation or the last one
+that an earlier window showed, and repeats turns from the end of the window before it, HISTORY
+tokens of them at most and none from before a system turn. The loss mask covers assistant texts, each in the one window where it is new.
 
 Template: `<s>[INST] text [/INST]` for users, ` text</s>` for assistants, and
 `[ROLE]role[/ROLE] text</s>` for any other role. Control strings inside texts and roles get
@@ -94,7 +95,25 @@ class Tokens:
         return kept[path]
 
     def counts(self, texts: list[str]) -> list[int]:
-        return [len(self.encoding.encode_ordinary(t)) for t in texts]
+        """Tokens of each text; one of more than LONG code points is counted piece by piece, as its pattern overflows on very long runs."""
+        return [sum(len(self.encoding.encode_ordinary(p)) for p in pieces(t)) for t in texts]
+
+
+LONG = 10_000
+
+
+def pieces(text: str, most: int = LONG) -> list[str]:
+    """The text in parts of at most so many code points, cut before a lone blank between other characters where there is one."""
+    out, at = [], 0
+    while len(text) - at > most:
+        end = at + most
+        cut = text.rfind(" ", at + 1, end)
+        while cut > at and (text[cut - 1].isspace() or text[cut + 1].isspace()):
+            cut = text.rfind(" ", at + 1, cut)
+        cut = end if cut <= at else cut
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
 
 
 class _Windows:
@@ -102,20 +121,24 @@ class _Windows:
 
     def __init__(self, conv: int | None, budget: int, history: int) -> None:
         self.conv, self.budget, self.history = conv, budget, history
-        self.system: tuple[str, int, int, bool] | None = None
-        self.held: list[tuple[str, int, int, bool]] = []  # formatted turn, where its text starts, tokens, whether it bears loss
+        self.system: tuple[str, int, int, str] | None = None
+        self.held: list[tuple[str, int, int, str]] = []  # formatted turn, where its text starts, tokens, role
         self.sums = [0]  # prefix sums of their tokens
         self.repeated, self.number, self.seen = 0, 0, 0
 
     def add(self, role: str, shown: str, at: int, tokens: int):
         """Take a turn formatted by turn()."""
-        item = (shown, at, tokens, role == "assistant")
+        item = (shown, at, tokens, role)
         base = self.system[2] if self.system else 0
         if len(self.held) > self.repeated and base + self.sums[-1] + tokens > self.budget:
             yield self.window()
+            later = [x for x in self.held[self.repeated :] if x[3] == "system"]
+            if later:
+                self.system = later[-1]
+                base = self.system[2]
             # repeat the longest run of last turns within the history budget that leaves room for the new turn
             k = len(self.held)
-            while k and self.sums[-1] - self.sums[k - 1] <= self.history and base + self.sums[-1] - self.sums[k - 1] + tokens <= self.budget:
+            while k and self.held[k - 1][3] != "system" and self.sums[-1] - self.sums[k - 1] <= self.history and base + self.sums[-1] - self.sums[k - 1] + tokens <= self.budget:
                 k -= 1
             self.held = self.held[k:]
             self.repeated = len(self.held)
@@ -133,8 +156,8 @@ class _Windows:
         parts = ([self.system] if self.system else []) + self.held
         skip = (1 if self.system and self.number else 0) + self.repeated
         text, loss, at = [], [], 0
-        for i, (shown, start, _, target) in enumerate(parts):
-            if target and i >= skip:
+        for i, (shown, start, _, role) in enumerate(parts):
+            if role == "assistant" and i >= skip:
                 loss.append({"start": at + start, "end": at + len(shown) - len("</s>")})
             text.append(shown)
             at += len(shown)
