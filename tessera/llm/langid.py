@@ -7,13 +7,14 @@ gets the language whose codeword has the least total logistic loss under the bit
 margins; a small gap to the next codeword flags the text as ambiguous.
 
 Learning counts trigrams of at most SAMPLE documents for each language, picked by a hash
-of doc_id among those with a language whose crc32(doc_id) mod 3 is not 1. Every document
+of doc_id and text among those with a language whose crc32(doc_id) mod 3 is not 1. Every document
 is then predicted, over its whole text.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without
 training rows every text is `und`; with one language all others texts get it; a null
 doc_id is predicted and counts as not held out; repeated rows are each returned; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored. Texts are weighed in parts of a million code
+points, so a very long one costs little more than itself in memory.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ BUCKETS = 1 << 14
 GAIN = 40  # trigrams after which more text no longer raises a margin
 AMBIGUOUS = 0.75  # scores below this are flagged
 _CHUNK = 1 << 20
+STEP = 1 << 18  # trigrams that are weighed at a time
 _FOLD = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
 
 
@@ -57,6 +59,23 @@ def codewords(n: int) -> np.ndarray:
             return code
 
 
+def segments(texts: list[str | None]):
+    """Lists of parts of texts, about _CHUNK code points in all, with the text that each is of; a longer text's parts overlap by a code point."""
+    owner, parts, held = [], [], 0
+    for i, t in enumerate(texts):
+        t = t or ""
+        for at in range(0, max(len(t), 1), _CHUNK):
+            part = t[max(at - 1, 0) : at + _CHUNK]
+            if held and held + len(part) > _CHUNK:
+                yield np.array(owner), parts
+                owner, parts, held = [], [], 0
+            owner.append(i)
+            parts.append(part)
+            held += len(part)
+    if parts:
+        yield np.array(owner), parts
+
+
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every byte trigram of the lower-cased texts, and how many each text has."""
     data = [b" " + t.lower().encode("utf-8", "replace").translate(_FOLD) + b" " if t else b"" for t in texts]
@@ -81,11 +100,15 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and gap to the next language of each text; texts must have a letter."""
-        grams, size = trigrams(texts)
-        total = np.zeros((len(texts), self.weights.shape[1]))
-        some = np.flatnonzero(size)
-        if len(some):
-            total[some] = np.add.reduceat(self.weights[grams], (np.cumsum(size) - size)[some], axis=0)
+        total, size = np.zeros((len(texts), self.weights.shape[1])), np.zeros(len(texts), np.int64)
+        for owner, parts in segments(texts):
+            grams, n = trigrams(parts)
+            at = np.cumsum(n) - n
+            for k in range(0, len(grams), STEP):  # bounded whatever the number of bits
+                some = np.flatnonzero((n > 0) & (at < k + STEP) & (at + n > k))
+                if len(some):
+                    np.add.at(total, owner[some], np.add.reduceat(self.weights[grams[k : k + STEP]], np.maximum(at[some] - k, 0), axis=0))
+            np.add.at(size, owner, n)
         margin = total / np.maximum(size, 1)[:, None] * np.minimum(size, GAIN)[:, None]
         loss = np.logaddexp(0, -margin[:, None, :] * self.codes[None]).sum(axis=2)
         order = np.argsort(loss, axis=1, kind="stable")
@@ -103,18 +126,22 @@ def learn(docs: DataFrame) -> Model | None:
     if not sizes:
         return None
     share = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1 << 20, int((1 << 20) * SAMPLE / n) + 1))) for k, n in sizes.items()))
-    picked = train.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("lang")), F.lit(1 << 20)) < share[F.col("lang")]).limit(3 * SAMPLE * len(sizes) // 2)
+    train = train.withColumn("_h", F.xxhash64("doc_id", "lang", "text"))
+    # only their hashes meet in one task; texts are read where they lie
+    ids = train.where(F.pmod("_h", F.lit(1 << 20)) < share[F.col("lang")]).select("_h").distinct().limit(3 * SAMPLE * len(sizes) // 2)
+    picked = train.join(F.broadcast(ids), "_h", "left_semi").dropDuplicates(["_h"])
 
     def count(batches):
         for b in batches:
             for part in chunks([b], "text", _CHUNK):
                 langs = np.array(part.column("lang").to_pylist(), object)
-                grams, size = trigrams(part.column("text").to_pylist())
-                owner = np.repeat(langs, size)
-                for lang in set(langs):
-                    n = np.bincount(grams[owner == lang], minlength=BUCKETS)
-                    at = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
+                for rows, texts in segments(part.column("text").to_pylist()):
+                    grams, size = trigrams(texts)
+                    owner = np.repeat(langs[rows], size)
+                    for lang in set(langs[rows]):
+                        n = np.bincount(grams[owner == lang], minlength=BUCKETS)
+                        at = np.flatnonzero(n)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
     # BUCKETS rows for each language at most
     rows = map_arrow(picked.select("text", "lang"), count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
