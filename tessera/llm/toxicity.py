@@ -1,14 +1,15 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick after folding look-alike characters.
 
-Folding maps each character to one character: lower case, accents off, look-alike letters
+Before all else combining marks and invisible format characters are dropped, and each run of
+white space becomes one blank. Folding maps each character to one character: lower case, accents off, look-alike letters
 of other scripts and full-width forms to Latin, and digits and signs to the letters they
-stand for. Matches must be whole words of the original text, and matches inside an
+stand for. Matches must be whole words of the text before folding, and matches inside an
 exception phrase do not count.
 
 Learning, from labelled training rows only: a term's weight is its log-odds between toxic
 and other documents; to the base list come words that the labels prove (a z-score of at least MIN_Z, in at least MIN_SHARE of toxic texts). A logistic model turns the weighted hits, alone and for each hundred words, into
-a score. It is fitted on at most SAMPLE labelled rows, picked by a hash of doc_id; that
-bound is the only one: every document is scored, over its whole text.
+a score. It is fitted on at most SAMPLE labelled rows, picked by a hash of doc_id. At most
+MAX_LEARNED words are learned, of 3 to 40 letters. Every document is scored, over its whole text.
 
 Defined cases: null and empty texts have no hits and get the model's lowest score; a
 null doc_id is scored and counts as not held out; several labels of one document count
@@ -18,6 +19,7 @@ are used; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass
 
@@ -59,6 +61,16 @@ def _table() -> dict[int, str]:
 FOLD = _table()
 
 
+# Combining marks and format characters of the blocks that Latin, Greek and Cyrillic text meets.
+_DROP = re.compile("[\u00ad\u0300-\u036f\u0483-\u0489\u061c\u180e\u1ab0-\u1aff\u1dc0-\u1dff\u200b-\u200f\u202a-\u202e\u2060-\u206f\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\ufeff]+")
+
+
+def plain(text: str) -> tuple[str, int]:
+    """The text without combining marks and format characters, its words parted by one blank; and how many words it has."""
+    words = (text if text.isascii() else _DROP.sub("", text)).split()
+    return " ".join(words), len(words)
+
+
 def fold(text: str) -> str:
     """The text with each character folded; as long as before."""
     return text.translate(FOLD)
@@ -83,7 +95,7 @@ class Lexicon:
             machine.make_automaton()
 
         def match(text: str) -> tuple[float, int, int]:
-            words = len(text.split())
+            text, words = plain(text)
             found, masked = [], []
             if len(machine):
                 for end, (n, w) in machine.iter(fold(text)):
@@ -129,7 +141,10 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     picked = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(SAMPLE)
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")
     # copies of one text prove no more than the text itself
-    return rows.groupBy(F.xxhash64("text").alias("_h")).agg(F.max_by(F.struct("text", "toxic"), F.struct("toxic", -F.col("doc_id"))).alias("r")).select("r.*")
+    one = rows.groupBy(F.xxhash64("text").alias("_h")).agg(F.max_by(F.struct("text", "toxic"), F.struct("toxic", -F.col("doc_id"))).alias("r"))
+    # an id may stand for many texts: of these, the share that keeps the sample within its bound
+    total = one.count()
+    return one.where(F.pmod(F.xxhash64("_h"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(total, 1)) * (1 << 20))).select("r.*")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
@@ -140,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         for b in batches:
             tox, text = [], []
             for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                own = {w for w in "".join(c if c.isalpha() else " " for c in fold(t or "")).split() if 3 <= len(w) <= 40}
+                own = {w for w in "".join(c if c.isalpha() else " " for c in fold(plain(t or "")[0])).split() if 3 <= len(w) <= 40}
                 text += own
                 tox += [y] * len(own)
                 text.append("")  # counts the documents
