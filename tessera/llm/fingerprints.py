@@ -11,9 +11,10 @@ Two sketches are compared over the hash range that both cover completely; their
 the mean of the two estimated containments.
 
 Each document's neighbour is the next by doc_id, the first following the last. Documents
-move once, into ranges of doc_id whose bounds are known beforehand; the first document of
-each range is sent to the range before it as well, so a range is one sorted stream and
-needs no window over the whole table.
+are read twice and move once. The first time draws SAMPLE of them, whose order and sizes give
+the bounds of ranges; a bound is a document's id and text hash, so many rows of one id are
+several ranges. The second time deals documents to ranges, the first of each to the range before
+it as well, so a range is one sorted stream and needs no window over the whole table.
 
 Defined cases: a null text counts as empty; two empty texts are alike (1), an empty and
 another are not (0); rows with equal doc_id follow each other by text; a null doc_id comes
@@ -38,8 +39,9 @@ SHARE = 1 / 32  # of the hash space that is held
 FEWEST = 64  # smallest hashes that are held in any case
 LIMIT = int(SHARE * 2**32)
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-RANGE_BYTES = 4 << 20  # text of one range
-MAX_RANGES = 4096  # bounds are one expression; larger ranges are sorted on disk and still read as a stream
+RANGE_BYTES = 4 << 20  # text of one range, about
+SAMPLE = 100_000  # documents that bounds are chosen from
+LEAST_DRAWN = 2  # of a range, on average: of a sample that is not the whole table no more ranges are made
 
 
 def _byte_hashes(data: bytes) -> np.ndarray:
@@ -104,20 +106,46 @@ def decode(s: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(s), "<u4")
 
 
-def _ranges(ids: DataFrame) -> list:
-    """Ascending first ids of the ranges, at most MAX_RANGES of them; a range holds about RANGE_BYTES of text, or one id."""
-    size = ids.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    count = int(min(MAX_RANGES, size // RANGE_BYTES + 1))
-    cuts = ids.where("doc_id is not null").select(F.percentile_approx("doc_id", [i / count for i in range(count)], 10 * count + 1000)).first()[0] if count > 1 else []
-    return sorted(set(cuts or []))
+def _order(doc_id: int | None, h: int) -> tuple:
+    return doc_id is not None, doc_id or 0, h
 
 
-def _reached(cuts: list, lo: int, hi: int):
-    """How many cuts an id has reached, by bisection."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(F.col("doc_id") >= F.lit(cuts[mid]), _reached(cuts, mid + 1, hi)).otherwise(_reached(cuts, lo, mid))
+def _bounds(rows: DataFrame) -> list[tuple[int | None, int]]:
+    """Ascending (doc_id, h) that ranges of rows(doc_id, h, text) start with: rows of about RANGE_BYTES lie between two; the first is the least row drawn."""
+    drawn = rows.select("doc_id", "h", F.octet_length("text").alias("bytes"), F.rand(7).alias("r")).orderBy("r").limit(SAMPLE).collect()
+    if not drawn:
+        return []
+    part = 1.0 if len(drawn) < SAMPLE else max(drawn[-1]["r"], 1e-12)  # the share of rows that is drawn
+    size = sum(r["bytes"] for r in drawn) / part
+    count = int(max(1, min(size // RANGE_BYTES + 1, len(drawn) // LEAST_DRAWN)))
+    held = sorted((_order(r["doc_id"], r["h"]), r["bytes"]) for r in drawn)
+    bounds, filled = [held[0][0]], 0
+    for order, n in held:
+        if filled >= size * part / count and order > bounds[-1]:
+            bounds.append(order)
+            filled = 0
+        filled += n
+    return [(i if known else None, h) for known, i, h in bounds]
+
+
+def _placed(rows: DataFrame, bounds: list[tuple[int | None, int]]) -> DataFrame:
+    """rows(doc_id, h, text) with part, and last = 1 for copies of a range's first row in the range before it.
+
+    What precedes the first bound is of the first range. Which of these rows is the least is not known here: all of
+    them, few as the least of SAMPLE rows drawn is their end, are copied to the last range.
+    """
+    spark, n = rows.sparkSession, len(bounds)
+    keys = [(i is not None, i or 0, h) for i, h in bounds]
+    listed = "array<struct<k: boolean, i: bigint, h: bigint>>"
+    table = spark.createDataFrame([(keys,)], f"_bounds {listed}")  # one row, of SAMPLE / LEAST_DRAWN bounds at most
+    out = rows.withColumn("_bounds", table.scalar()).withColumn("_o", F.struct(F.col("doc_id").isNotNull().alias("k"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("h"))).withColumn("part", F.lit(0))
+    for step in (1 << b for b in range(max(n - 1, 0).bit_length() - 1, -1, -1)):  # bisection, one look-up a step
+        out = out.withColumn("part", F.when(F.coalesce(F.get("_bounds", F.col("part") + step) <= F.col("_o"), F.lit(False)), F.col("part") + step).otherwise(F.col("part")))
+    here = F.struct(F.col("part"), F.lit(0).alias("last"))
+    before = F.struct(F.pmod(F.col("part") - 1, F.lit(n)).alias("part"), F.lit(1).alias("last"))
+    first = (F.get("_bounds", F.col("part")) == F.col("_o")) | ((F.col("part") == 0) & (F.col("_o") < F.get("_bounds", F.lit(0))))
+    places = F.when(first, F.array(here, before)).otherwise(F.array(here))
+    return out.select("doc_id", "h", "text", F.inline(places))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -137,21 +165,12 @@ def with_edits(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many
     of the next document, or all of them if it has fewer.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = _ranges(rows)
-    n = len(cuts) + 1
-    placed = rows.withColumn("part", F.coalesce(_reached(cuts, 0, len(cuts)), F.lit(0)))
-    # the first row of each range: one for each, at most MAX_RANGES + 1
-    firsts = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", F.xxhash64("text").alias("h"))).alias("f")).collect()
-    used = sorted(r["part"] for r in firsts)
-    before = {p: used[i - 1] for i, p in enumerate(used)}
-    first = {r["part"]: (r["f"]["doc_id"], r["f"]["h"]) for r in firsts}
-    if not used:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    bounds = _bounds(rows)
+    if not bounds:
         return docs.sparkSession.createDataFrame([], SCHEMA)
-    table = docs.sparkSession.createDataFrame([(p, first[p][0], first[p][1], before[p]) for p in used], "part int, _id long, _h long, _before int")
-    lead = placed.join(F.broadcast(table), "part").where(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))).select("doc_id", "text", F.col("_before").alias("part"), F.lit(1).alias("last"))
-    both = placed.select("doc_id", "text", "part", F.lit(0).alias("last")).unionByName(lead)
-    spread = both.repartition(max(n, 1), "part").sortWithinPartitions("part", "last", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    spread = _placed(rows, bounds).repartition(len(bounds), "part").sortWithinPartitions("part", "last", F.asc_nulls_first("doc_id"), "h").drop("h")
 
     def run(batches):
         held = None  # the row whose neighbour has not come yet: id, text, sketch, part
@@ -168,6 +187,8 @@ def with_edits(docs: DataFrame) -> DataFrame:
                 piece = b.slice(at, 256)
                 out = []
                 for doc, text, part, last in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "text", "part", "last"))):
+                    if last and held is None:
+                        continue  # a repetition of the row that closed the range
                     row = (doc, text, sketch(text.encode("utf-8", "surrogatepass")), part)
                     if held is not None and held[3] == part:
                         out.append(finish(held, row))
