@@ -9,11 +9,11 @@ Of records with equal payloads of LEAST_REVISIT bytes or more, that with the sma
 page_id is a response and the others are revisits: they keep the HTTP head, the digest and
 a reference, not the payload. Smallest ids are found by a grouped minimum over digests;
 pages then move once, to meet their digest's row, in a join that adaptive execution splits
-where one payload is very common.
+where one payload is very common. Shorter pages meet nothing and are spread by their ids.
 
-Archives are written as gzip members of at most FILE_RECORDS records by Spark's own writer,
-under the shared checkpoint folder unless a path is given. A file is read back as a stream:
-besides its compressed bytes one record is held at a time.
+Archives are gzip files of about FILE_BYTES of records each, or one longer record, by Spark's own
+writer, under the shared checkpoint folder unless a path is given; the folder is the caller's to
+delete. A file is read back as a stream: besides its compressed bytes one record is held at a time.
 
 Record identifiers are version-8 UUIDs that hold the page_id, so references can be read back.
 
@@ -38,10 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, shared_folder
+from tessera.llm.common import chunks, map_arrow, shared_folder
 
 LEAST_REVISIT = 100
-FILE_RECORDS = 1_000
+FILE_BYTES = 32 << 20
 _EPOCH = datetime(2001, 1, 1)
 _SPACE = 0x7E55E4A10000  # the first 48 bits of every identifier
 # The header fields that ARC version blocks declare.
@@ -159,7 +159,8 @@ def record_types(pages: DataFrame) -> DataFrame:
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     ).withColumn("_digest", F.when(F.octet_length("html") >= LEAST_REVISIT, F.sha2("html", 256)))
     repeated = rows.where("_digest is not null").groupBy("_digest").agg(F.min("page_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1").select("_digest", "_least")
-    return rows.join(repeated, "_digest", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("_least")), F.col("_least")).alias("refers_to"))
+    spread = F.coalesce("_digest", F.concat(F.lit("short "), F.xxhash64("page_id", "url", "html").cast("string")))
+    return rows.withColumn("_digest", spread).join(repeated, "_digest", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("_least")), F.col("_least")).alias("refers_to"))
 
 
 def write(pages: DataFrame, path: str | None = None) -> str:
@@ -167,19 +168,32 @@ def write(pages: DataFrame, path: str | None = None) -> str:
     path = path or f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
 
     def run(batches):
+        held: list[bytes] = []  # records of the next file
+        size = 0
+
+        def file():
+            return pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(held)], pa.binary()).cast(pa.string())], ["value"])
+
         for b in batches:
-            for at in range(0, len(b), 64):
-                part = b.slice(at, 64)
+            for part in chunks([b], "html", FILE_BYTES // 4):
                 rows = list(zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), part.column("html").cast(pa.large_binary()).to_pylist(), part.column("refers_to").to_pylist()))
                 out = []
                 for version in (1, 2):
                     own = [r for r in rows if (r[0] or 0) % 2 + 1 == version]
                     arc = write_arc([r[:3] for r in own], version)
                     out += [to_warc(fields, block, r[3]) for (fields, block), r in zip(parse_arc(arc), own, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+                for record in out:
+                    if held and size + len(record) > FILE_BYTES:
+                        yield file()
+                        held.clear()
+                        size = 0
+                    held.append(record)
+                    size += len(record)
+        if held:
+            yield file()
 
     records = map_arrow(record_types(pages), run, "value string")
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
     return path
 
 
