@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import string
 import tempfile
 import uuid
@@ -24,10 +25,13 @@ CHUNK_BYTES = 2 << 20  # text that one step of a vectorised operator holds
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which executors share; a temporary one only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir, which executors share. Where none is set, a temporary one in a local session (tests), else RuntimeError."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoint"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
