@@ -117,6 +117,27 @@ def test_toxicity_matching(spark, odd):
     assert toxicity.score(odd.limit(0), toxicity.Lexicon({})).count() == 0
 
 
+@pytest.mark.parametrize("text, hits", [
+    ("id\u200biot", 1), ("idi\u00adot!", 1), ("cre\u0301tin", 1), ("cr\u00e9tin", 1), ("i\u0307diot", 1), ("the class \t\n clown", 0), ("clown\u00a0fish", 0), ("clown", 1), ("clownish", 0), ("1d10t", 1), ("\u0456diot", 1), ("xidiot", 0), ("an idiot, idiot", 2), (" \n", 0), ("\u0301\u200b", 0),
+])
+def test_toxicity_folding(text, hits):
+    match = toxicity.Lexicon({toxicity.fold(t): 1.0 for t in toxicity.BASE_TERMS}).matcher()
+    assert match(text)[1] == hits
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "1diot", "clown", "class", "fish", "Clown", "x", " ", "  ", "\n", ".", "\u200b", "\u0301", "trash", "bag"]), max_size=9).map("".join))
+def test_toxicity_matcher(text):
+    """Hits are the whole words that fold to a term, less those inside an exception phrase."""
+    terms = {toxicity.fold(t) for t in toxicity.BASE_TERMS}
+    match = toxicity.Lexicon(dict.fromkeys(terms, 1.0)).matcher()
+    clean = " ".join(text.replace("\u200b", "").replace("\u0301", "").split())
+    spans = lambda t: {(k, k + len(t)) for k in range(len(clean)) if toxicity.fold(clean)[k : k + len(t)] == t and not clean[max(k - 1, 0) : k].isalnum() and not clean[k + len(t) : k + len(t) + 1].isalnum()}
+    masks = {x for t in toxicity.EXCEPTIONS for x in spans(toxicity.fold(t))}
+    want = [x for t in terms for x in spans(t) if not any(a <= x[0] and x[1] <= b for a, b in masks)]
+    assert match(text)[1:] == (len(want), len(clean.split()))
+
+
 # 3 chat
 
 
@@ -150,6 +171,56 @@ def test_chat_empty_turns_fill_windows(spark):
     assert rows(chat.read(chat.windows(df, path, public_tokenizers.PATTERN)))[0]["n_turns"] == 3000
 
 
+@pytest.mark.parametrize("unit", [" ", "a", "\U0001f600", "\n", "</s>", "é "])
+def test_chat_long_runs(unit):
+    text = unit * (1_000_000 // len(unit))
+    assert "".join(chat.pieces(text)) == text and max(map(len, chat.pieces(text))) <= chat.LONG
+    counter = chat.Tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    n = counter.counts([text])[0]
+    assert 0 < n <= len(text.encode())
+    words = "several words in a row " * 2000
+    assert counter.counts([words]) == [len(counter.encoding.encode_ordinary(words))]
+
+
+def brute_windows(turns, budget, history):
+    """(leading turns that are repeated, indices of all turns) of each window; turns are (role, tokens)."""
+    out, system, at = [], 0 if turns and turns[0][0] == "system" else None, 0
+    at = 0 if system is None else 1
+    back = []
+    while True:
+        head = [] if system is None else [system]
+        cost = lambda ids: sum(turns[i][1] for i in ids)  # noqa: B023, E731
+        new = []
+        while at < len(turns) and (not new or cost(head + back + new) + turns[at][1] <= budget):
+            new.append(at)
+            at += 1
+        if not new and out or not turns:
+            return out
+        skip = (1 if head and (out or head[0] != 0) else 0) + len(back)
+        out.append((skip if out else 0, head + back + new))
+        if at == len(turns):
+            return out
+        later = [i for i in new if turns[i][0] == "system"]
+        system = later[-1] if later else system
+        base = 0 if system is None else turns[system][1]
+        shown, back = back + new, []
+        while shown and turns[shown[-1]][0] != "system" and cost(back + [shown[-1]]) <= history and base + cost(back + [shown[-1]]) + turns[at][1] <= budget:
+            back.insert(0, shown.pop())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system"]), st.integers(1, 30)), max_size=14))
+def test_chat_windows(turns):
+    state, got = chat._Windows(1, 40, 12), []
+    for k, (role, n) in enumerate(turns):
+        got += state.add(role, *chat.turn(role, str(k)), n)
+    got += state.end()
+    shown = [(w[2], [int(t) for _, t in chat.turns(w[5])]) for w in got]
+    assert shown == brute_windows(turns, 40, 12)
+    loss = [int(w[5][x["start"] : x["end"]]) for w in got for x in w[6]]
+    assert loss == [k for k, (role, _) in enumerate(turns) if role == "assistant"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "x"]), st.text("<s>/[]INSTROLE\\ a", max_size=20))))
 def test_chat_escapes(turns):
@@ -178,6 +249,28 @@ def test_language(spark, odd):
 # 5 decontamination
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcé ñ1", min_size=1, max_size=40), min_size=1, max_size=6), st.integers(2, 9), st.sampled_from([1 << 18, 7]), st.sampled_from([1 << 20, 16]))
+def test_language_decoding(texts, n, step, chunk):
+    """The codeword of least total logistic loss under plainly added margins; the same in whatever parts texts are weighed."""
+    rng = np.random.default_rng(n)
+    codes = langid.codewords(n)
+    model = langid.Model(tuple(f"l{i}" for i in range(n)), rng.normal(size=(langid.BUCKETS, codes.shape[1])).astype(np.float32), codes)
+    kept = langid.STEP, langid._CHUNK
+    langid.STEP = step
+    lang, score, gap = model.predict(texts)
+    langid._CHUNK = chunk
+    parts = [sum((trig for _, p in langid.segments([t]) for trig in [langid.trigrams(p)[1].sum()]), 0) for t in texts]
+    langid.STEP, langid._CHUNK = kept
+    assert all(p >= len(t) for p, t in zip(parts, texts))
+    for t, found, p, g in zip(texts, lang, score, gap):
+        grams, size = langid.trigrams([t])
+        margin = sum(model.weights[b].astype(float) for b in grams) / max(len(grams), 1) * min(len(grams), langid.GAIN)
+        losses = [sum(np.log1p(np.exp(-m * c)) for m, c in zip(margin, code)) for code in codes]
+        best = sorted(losses)
+        assert abs(losses[int(found[1:])] - best[0]) < 1e-6 and abs(g - (best[1] - best[0])) < 1e-4 and abs(p - np.exp(-best[0]) / sum(np.exp(-x) for x in losses)) < 1e-4
+
+
 def test_decontamination(spark, odd):
     r = random.Random(2)
     word = lambda: "".join(r.choices("abcdefgh", k=5))
@@ -380,25 +473,47 @@ def test_components(spark):
 # 7 fingerprints
 
 
+def brute_likeness(a, b):
+    """The mean of both containments of the sets of 16-byte shingles."""
+    x, y = ({t[k : k + 16] for k in range(max(1, len(t) - 15))} if t else set() for t in (a.encode(), b.encode()))
+    return (len(x & y) / len(x) + len(x & y) / len(y)) / 2 if x and y else float(x == y)
+
+
 def test_fingerprints(spark, texts, odd, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_BYTES", 200_000)  # several ranges on the small table
-    got = {r["doc_id"]: r for r in rows(queries.op7_fingerprints(spark, SF))}
     order = sorted(texts)
-    shingles = lambda t: {t.encode()[k : k + 16] for k in range(max(1, len(t.encode()) - 15))}
-    for k, i in enumerate(order):
-        t, after = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
-        q = len(t) // 4
-        edited = t[: len(t) - q] + after[:q]
-        assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        if k % 40 == 0:
-            a, b = shingles(t), shingles(edited)
-            assert abs(got[i]["near_edited"] - (len(a & b) / len(a) + len(a & b) / len(b)) / 2) < 0.2
+    for sample in (fingerprints.SAMPLE, 100):  # bounds from the whole table, and from a sample
+        monkeypatch.setattr(fingerprints, "SAMPLE", sample)
+        got = {r["doc_id"]: r for r in rows(queries.op7_fingerprints(spark, SF))}
+        assert len(got) == len(order)
+        off = []
+        for k, i in enumerate(order):
+            t, after = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
+            q = len(t) // 4
+            edited = t[: len(t) - q] + after[:q]
+            assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+            off += [abs(got[i]["near_edited"] - brute_likeness(t, edited)), abs(got[i]["near_next"] - brute_likeness(t, after))]
+        assert max(off) < 0.3 and sum(off) / len(off) < 0.03
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 1)
     out = rows(fingerprints.with_edits(odd))
     assert len(out) == len(ODD) and fingerprints.with_edits(odd.limit(0)).count() == 0
     assert next(r for r in out if r["doc_id"] == 1)["near_next"] == 1
     assert fingerprints.with_edits(odd.where("doc_id = 9")).first()["near_next"] == 1
 
 
+def test_fingerprints_one_id(spark, monkeypatch):
+    """Rows that share an id, or have none, are dealt by their text; each is followed by the next in that order."""
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 1)
+    df = spark.createDataFrame([(i, f"text {k} " * 9) for i in (7, None) for k in range(40)], "doc_id long, text string")
+    assert len(fingerprints._bounds(df.selectExpr("doc_id", "xxhash64(text) h", "text"))) > 30
+    out = rows(fingerprints.with_edits(df))
+    h = {r["fingerprint"]: r for r in rows(fingerprints.fingerprints(df))}
+    assert len(out) == 80 and len(h) == 40
+    order = df.selectExpr("doc_id", "xxhash64(text) h", "text").orderBy("doc_id", "h").collect()
+    want = sorted(hashlib.sha256((r["text"][: len(r["text"]) - len(r["text"]) // 4] + order[(k + 1) % 80]["text"][: len(r["text"]) // 4]).encode()).hexdigest() for k, r in enumerate(order))
+    assert sorted(r["edited_sha256"] for r in out) == want
+
+
 def test_sketches_merge():
     a, b = LONG[:90_000].encode(), LONG[60_000:150_000].encode()
     whole = np.union1d(fingerprints._byte_hashes(a), fingerprints._byte_hashes(b))
