@@ -11,7 +11,7 @@ Two sketches are compared over the hash range that both cover completely; their
 the mean of the two estimated containments.
 
 Each document's neighbour is the next by doc_id, the first following the last. Documents
-are read twice and move once. The first time draws SAMPLE of them, whose order and sizes give
+are counted, read twice and move once. The first time draws SAMPLE of them, whose order and sizes give
 the bounds of ranges; a bound is a document's id and text hash, so many rows of one id are
 several ranges. The second time deals documents to ranges, the first of each to the range before
 it as well, so a range is one sorted stream and needs no window over the whole table.
@@ -112,10 +112,10 @@ def _order(doc_id: int | None, h: int) -> tuple:
 
 def _bounds(rows: DataFrame) -> list[tuple[int | None, int]]:
     """Ascending (doc_id, h) that ranges of rows(doc_id, h, text) start with: rows of about RANGE_BYTES lie between two; the first is the least row drawn."""
-    drawn = rows.select("doc_id", "h", F.octet_length("text").alias("bytes"), F.rand(7).alias("r")).orderBy("r").limit(SAMPLE).collect()
-    if not drawn:
+    part = min(1.0, SAMPLE / max(rows.count(), 1))  # the share of rows that is drawn; a count reads footers alone
+    drawn = rows.select("doc_id", "h", F.octet_length("text").alias("bytes")).where(F.rand(7) < part).collect()  # about SAMPLE rows
+    if not drawn:  # an empty table
         return []
-    part = 1.0 if len(drawn) < SAMPLE else max(drawn[-1]["r"], 1e-12)  # the share of rows that is drawn
     size = sum(r["bytes"] for r in drawn) / part
     count = int(max(1, min(size // RANGE_BYTES + 1, len(drawn) // LEAST_DRAWN)))
     held = sorted((_order(r["doc_id"], r["h"]), r["bytes"]) for r in drawn)
