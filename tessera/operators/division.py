@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import bitmaps
+
 IN_LIST_MAX = 1000  # a context up to this size is an IN list, pushed down to the scan
 
 
@@ -47,15 +50,18 @@ def count_docs_in_context(dt: DataFrame, terms: Iterable | DataFrame) -> DataFra
 
 
 def posting_bitmaps(dt: DataFrame) -> DataFrame:
-    """(term, bucket, bits): documents of each term as fixed-size bitmaps of one bucket each."""
-    return dt.groupBy("term", F.expr("bitmap_bucket_number(doc)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(doc))").alias("bits"))
+    """(key, bucket, bits): documents of each term as bitmaps."""
+    return bitmaps.from_rows(dt, "term", "doc")
 
 
-def count_docs_in_context_bitmap(bitmaps: DataFrame, terms: Iterable) -> DataFrame:
+def count_docs_in_context_bitmap(postings: DataFrame, terms: Iterable) -> DataFrame:
     """The count of docs_in_context over posting_bitmaps: AND per bucket, then a popcount sum."""
-    found = _context(terms)
-    anded = bitmaps.where(F.col("term").isin(found)).groupBy("bucket").agg(F.expr("bitmap_and_agg(bits)").alias("bits"), F.count("*").alias("_n"))
-    return anded.where(F.col("_n") == len(found)).agg(F.coalesce(F.sum(F.expr("bitmap_count(bits)")), F.lit(0)).alias("n"))
+    return bitmaps.all_of(postings, _context(terms)).agg(F.coalesce(F.sum(F.expr("bitmap_count(bits)")), F.lit(0)).alias("n"))
+
+
+def rows_in_context(rows: DataFrame, words: str, terms: Iterable) -> DataFrame:
+    """Rows of documents whose array column of words holds all terms: a filter, where a document is one row."""
+    return rows.where(reduce(lambda a, b: a & b, (F.array_contains(words, t) for t in _context(terms))))
 
 
 def docs_in_context_by_year(dt: DataFrame, dy: DataFrame, terms: Iterable) -> DataFrame:

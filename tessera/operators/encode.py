@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.ranges import bisect, sampled_bounds
+
+BLOCK = 4096  # values in a packed block, at most
 MAX_SYMBOLS = 65_536  # distinct symbols a Huffman table may have; more raise ValueError
 
 
@@ -28,19 +33,19 @@ def rle_sorted(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("run_len"))
 
 
-def rle_directory(df: DataFrame, key: str, buckets: int = 256) -> DataFrame:
-    """(key, length, row_id): where the run of each key starts in the table sorted by key.
+def rle_directory(df: DataFrame, key: str, keys_in_part: int = 100_000, most: int = 1024) -> DataFrame:
+    """(key, length, row_id): where the run of each key starts in the table sorted by key, nulls first.
 
-    Running sums are made in two steps over key ranges, so no task sees all keys:
-    within each range, plus the offset of the range (one row a range).
+    Running sums are made in two steps over ranges of keys with sampled bounds, so no task
+    sees all keys however they cluster: within each range, plus the offset of the range.
     """
     sizes = df.groupBy(key).agg(F.count("*").alias("length"))
-    bounds = sizes.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    width = F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.lit(buckets)), F.lit(1))
-    ranged = sizes.join(F.broadcast(bounds)).withColumn("_b", F.floor((F.col(key) - F.col("_lo")) / width))
-    inner = F.sum("length").over(W.partitionBy("_b").orderBy(key).rowsBetween(W.unboundedPreceding, 0)) - F.col("length")
+    bounds = sampled_bounds(sizes, key, min(most, sizes.count() // keys_in_part + 1))
+    listed = F.array(*[F.lit(x) for x in bounds]) if bounds else F.array(F.lit(None).cast(sizes.schema[key].dataType))
+    ranged = bisect(sizes, key, listed, len(bounds), "_b")
+    inner = F.sum("length").over(W.partitionBy("_b").orderBy(F.asc_nulls_first(key)).rowsBetween(W.unboundedPreceding, 0)) - F.col("length")
     per = ranged.groupBy("_b").agg(F.sum("length").alias("_t"))
-    # at most `buckets` + 1 rows: the one window without a partition
+    # at most `most` rows: the one window without a partition
     before = per.select("_b", (F.sum("_t").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_t")).alias("_o"))
     return ranged.withColumn("_i", inner).join(F.broadcast(before), "_b").select(key, "length", (F.col("_i") + F.col("_o")).alias("row_id"))
 
@@ -94,10 +99,11 @@ def huffman_codes(df: DataFrame, value: str) -> DataFrame:
     return spark.createDataFrame(table, "symbol long, freq long, length int, code string")
 
 
-def huffman_size_estimate(codes: DataFrame) -> DataFrame:
-    """Bits of the encoded column as it is, and with code lengths rounded up to a multiple of four."""
+def huffman_size_estimate(codes: DataFrame, width: int = 16) -> DataFrame:
+    """Bits of the column at a fixed width, encoded, and encoded with code lengths rounded up to a multiple of four."""
     rounded = F.ceil(F.col("length") / 4) * 4
     return codes.agg(
+        F.sum(F.col("freq") * width).alias("uncompressed_bits"),
         F.sum(F.col("freq") * F.col("length")).alias("bits"),
         F.sum(F.col("freq") * rounded).alias("bits_rounded"),
         F.sum("freq").alias("symbols"),
@@ -107,33 +113,121 @@ def huffman_size_estimate(codes: DataFrame) -> DataFrame:
 
 
 def huffman_length_histogram(codes: DataFrame) -> DataFrame:
-    return codes.groupBy("length").agg(F.count("*").alias("n"))
+    return codes.groupBy(F.col("length").cast("long").alias("length")).agg(F.count("*").alias("n"))
+
+
+class _Table:
+    """A canonical code as arrays: by symbol for encoding, by left-aligned code for decoding."""
+
+    PEEK = 56  # bits looked at for one symbol
+
+    def __init__(self, rows: list) -> None:
+        order = sorted(rows, key=lambda r: (r["length"], r["symbol"]))
+        self.symbol = np.array([r["symbol"] for r in order], np.int64)
+        self.length = np.array([r["length"] for r in order], np.int64)
+        if len(order) and self.length[-1] > self.PEEK:
+            raise ValueError(f"codes of more than {self.PEEK} bits")
+        self.code = np.array([int(r["code"], 2) for r in order], np.uint64)
+        self.aligned = self.code << (self.PEEK - self.length).astype(np.uint64)  # ascending, as codes are canonical
+        self.by_symbol = np.argsort(self.symbol)
+
+    def pack(self, values: np.ndarray) -> tuple[bytes, int]:
+        """Codes of the values one after another, most significant bit first, and their number of bits."""
+        at = self.by_symbol[np.searchsorted(self.symbol, values, sorter=self.by_symbol)]
+        n = self.length[at]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        bits = (np.repeat(self.code[at], n) >> (np.repeat(n, n) - 1 - within).astype(np.uint64)) & np.uint64(1)
+        return np.packbits(bits.astype(np.uint8)).tobytes(), int(n.sum())
+
+    def unpack(self, blocks: list[bytes], counts: list[int]) -> list[np.ndarray]:
+        """The values of each block; all blocks are decoded side by side, a symbol of each in a step."""
+        n = np.array(counts, np.int64)
+        out = np.zeros((len(blocks), int(n.max(initial=0))), np.int64)
+        data = np.frombuffer(b"".join(x + bytes(8) for x in blocks), np.uint8).astype(np.uint64)
+        size = np.array([len(x) + 8 for x in blocks], np.int64)
+        at = 8 * (np.cumsum(size) - size)
+        for k in range(out.shape[1]):
+            live = np.flatnonzero(n > k)
+            bit = at[live]
+            word = np.zeros(len(live), np.uint64)
+            for j in range(8):
+                word = word << np.uint64(8) | data[(bit >> 3) + j]
+            peek = word << (bit & 7).astype(np.uint64) >> np.uint64(64 - self.PEEK)
+            found = np.searchsorted(self.aligned, peek, side="right") - 1
+            out[live, k] = self.symbol[found]
+            at[live] += self.length[found]
+        return [out[i, :c] for i, c in enumerate(n)]
+
+
+_BLOCKS = "first long, n int, n_bits long, bits binary"
+
+
+def huffman_encode(df: DataFrame, codes: DataFrame, group: str, order: str, value: str, block: int = BLOCK) -> DataFrame:
+    """(group, first, n, n_bits, bits): the values of each group in order, in packed blocks of at most `block` values; first is the order of a block's first value.
+
+    Rows are dealt by ranges of group and order, so a large group is several tasks; a block
+    never spans two. order must be a long, distinct within a group; rows whose value is null or
+    without a code are left out.
+    """
+    kind = df.schema[group].dataType.simpleString()
+    table = df.sparkSession.sparkContext.broadcast(_Table(codes.collect()))  # at most MAX_SYMBOLS rows
+    rows = df.select(F.col(group).alias("g"), F.col(order).cast("long").alias("o"), F.col(value).cast("long").alias("v")).join(F.broadcast(codes.select(F.col("symbol").alias("v"))), "v", "left_semi")
+    dealt = rows.repartitionByRange("g", "o").sortWithinPartitions("g", "o", "v").select("g", "o", "v")
+
+    def run(batches):
+        for b in batches:
+            g = b.column("g")
+            new = np.ones(len(b), bool)
+            if len(b) > 1:
+                new[1:] = pc.fill_null(pc.not_equal(g[1:], g[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(g[1:]).to_numpy(zero_copy_only=False) != pc.is_null(g[:-1]).to_numpy(zero_copy_only=False))
+            edge = np.flatnonzero(new).tolist() + [len(b)]
+            cuts = [(lo, min(lo + block, hi)) for a, hi in zip(edge, edge[1:]) for lo in range(a, hi, block)]
+            o, v = b.column("o").to_numpy(zero_copy_only=False), b.column("v").to_numpy()
+            packed = [table.value.pack(v[lo:hi]) for lo, hi in cuts]
+            starts = pa.array([lo for lo, _ in cuts], pa.int64())
+            yield pa.RecordBatch.from_arrays([g.take(starts), pa.array(o[[lo for lo, _ in cuts]] if cuts else [], pa.int64()), pa.array([hi - lo for lo, hi in cuts], pa.int32()), pa.array([x[1] for x in packed], pa.int64()), pa.array([x[0] for x in packed], pa.binary())], [group, "first", "n", "n_bits", "bits"])
+
+    return dealt.mapInArrow(run, f"`{group}` {kind}, {_BLOCKS}")
 
 
-def huffman_encode(df: DataFrame, codes: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """(group, n, bits): each group's values in order as one string of 0 and 1."""
-    table = F.broadcast(codes.select(F.col("symbol").alias(value), "code"))  # at most MAX_SYMBOLS rows
-    pairs = F.sort_array(F.collect_list(F.struct(order, "code")))
-    return df.join(table, value).groupBy(group).agg(F.count("*").alias("n"), F.array_join(F.transform(pairs, lambda p: p["code"]), "").alias("bits"))
+def _decoded(encoded: DataFrame, codes: DataFrame, emit, schema: str) -> DataFrame:
+    table = encoded.sparkSession.sparkContext.broadcast(_Table(codes.collect()))  # at most MAX_SYMBOLS rows
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), 1024):
+                part = b.slice(at, 1024)
+                yield emit(part, table.value.unpack(part.column("bits").to_pylist(), part.column("n").to_pylist()))
+
+    return encoded.mapInArrow(run, schema)
 
 
 def huffman_decode(encoded: DataFrame, codes: DataFrame, group: str) -> DataFrame:
-    """(group, pos, value): a greedy prefix walk over each bit string, in Arrow batches."""
-    table = {r["code"]: r["symbol"] for r in codes.select("code", "symbol").collect()}  # at most MAX_SYMBOLS rows
-
-    def decode(bits: pd.Series) -> pd.Series:
-        def one(text: str) -> list[int]:
-            out, at = [], 0
-            for end in range(1, len(text) + 1):
-                if (symbol := table.get(text[at:end])) is not None:
-                    out.append(symbol)
-                    at = end
-            return out
-
-        return bits.map(one)
-
-    walk = F.pandas_udf(decode, "array<long>")
-    return encoded.select(group, F.posexplode(walk("bits")).alias("pos", "value"))
+    """(group, pos, value): the values of each group, numbered in order from 0."""
+    kind = encoded.schema[group].dataType.simpleString()
+    before = F.sum("n").over(W.partitionBy(group).orderBy("first", "bits").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+
+    def emit(part, values):
+        sizes = [len(v) for v in values]
+        row = np.repeat(np.arange(len(values)), sizes)
+        pos = part.column("_at").to_numpy()[row] + np.concatenate([*(np.arange(n) for n in sizes), np.zeros(0, np.int64)]).astype(np.int64)
+        return pa.RecordBatch.from_arrays([part.column(group).take(pa.array(row)), pa.array(pos), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]))], [group, "pos", "value"])
+
+    return _decoded(encoded.withColumn("_at", before.cast("long")), codes, emit, f"`{group}` {kind}, pos long, value long")
+
+
+def sum_over_huffman(encoded: DataFrame, codes: DataFrame) -> DataFrame:
+    """The sum of the decoded column; blocks are decoded and added up where they lie."""
+
+    def emit(part, values):
+        return pa.RecordBatch.from_arrays([pa.array([int(v.sum()) for v in values], pa.int64())], ["total"])
+
+    return _decoded(encoded.select("n", "bits"), codes, emit, "total long").agg(F.sum("total").alias("total"))
+
+
+def huffman_bytes(encoded: DataFrame, group: str, width: int = 2) -> DataFrame:
+    """(group, raw_bytes, encoded_bytes): each group's values at a fixed width, and as one bit string with a closing byte."""
+    return encoded.groupBy(group).agg((F.sum("n") * width).alias("raw_bytes"), (F.floor(F.sum("n_bits") / 8) + 1).alias("encoded_bytes"))
 
 
 def postings_size_report(dt: DataFrame, key: str) -> DataFrame:

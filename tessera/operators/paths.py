@@ -27,15 +27,15 @@ def _hop(counted: DataFrame, edges: DataFrame, on: str, to: str) -> DataFrame:
     return counted.join(edges.select(on, to), on).groupBy(to).agg(F.sum("c").alias("c"))
 
 
-def author_reach(dt: DataFrame, da: DataFrame, author: int) -> DataFrame:
-    """(author, score): number of author-doc-term-doc-author paths from one author.
+def author_reach(dt: DataFrame, da: DataFrame, author: int, by_term: DataFrame | None = None) -> DataFrame:
+    """(author, score): number of author-doc-term-doc-author paths from one author. by_term: a copy of dt dealt by term, if there is one.
 
     Counts are summed after each hop, so no intermediate is larger than one row a key
     times the next relation; the plain four-way join would carry every path.
     """
     docs = da.where(F.col("author") == author).groupBy("doc").agg(F.count("*").alias("c"))
     terms = _hop(docs, dt, "doc", "term")
-    reached = _hop(terms, dt, "term", "doc")
+    reached = _hop(terms, dt if by_term is None else by_term, "term", "doc")
     return _hop(reached, da, "doc", "author").withColumnRenamed("c", "score")
 
 

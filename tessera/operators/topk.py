@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.division import docs_in_context
+from tessera.operators.division import docs_in_context, rows_in_context
 
 
 def top_k(df: DataFrame, key: str, score: str, k: int) -> DataFrame:
@@ -60,6 +60,12 @@ def topk_tf_in_context(dt: DataFrame, terms, k: int) -> DataFrame:
     return topk_tf(dt, docs_in_context(dt, terms), k)
 
 
+def topk_words_in_context(rows: DataFrame, words: str, terms, k: int) -> DataFrame:
+    """topk_tf_in_context where a document is one row with its words, repeats included: one scan, and only words and counts move."""
+    held = rows_in_context(rows, words, terms).select(F.explode(words).alias("term"))
+    return top_k(held.groupBy("term").agg(F.count("*").alias("score")), "term", "score", k)
+
+
 def dual_lists(dt: DataFrame) -> DataFrame:
     """(doc, terms, freqs): two positional lists for each document."""
     pairs = F.sort_array(F.collect_list(F.struct("term", "freq")))

@@ -38,6 +38,11 @@ def load(spark: SparkSession, path: str, id: int) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path).where(F.col("id") == id)
 
 
+def replace(spark: SparkSession, path: str, new: DataFrame, to: str) -> None:
+    """The store at path with new's containers in place of those of equal id, written to another folder."""
+    save(upsert(spark.read.schema(SCHEMA).parquet(path), new), to, "overwrite")
+
+
 def upsert(current: DataFrame, new: DataFrame) -> DataFrame:
     """Replace whole containers by id: rows of ids in new come from new alone."""
     return current.join(new.select("id").distinct(), "id", "left_anti").unionByName(new)
@@ -47,7 +52,3 @@ def elements(container: DataFrame) -> DataFrame:
     """The elements in ascending order."""
     return container.select("element").orderBy("element")
 
-
-def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
-    """A copy bucketed and sorted by key: joins and groupings on key need no exchange."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)

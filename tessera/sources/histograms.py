@@ -26,6 +26,16 @@ def authors_per_doc(da: DataFrame, scale: float = 1.0) -> DataFrame:
     return da.groupBy("doc").agg(F.floor(F.count("*") * F.lit(scale)).alias("n"))
 
 
+def group_size(hist: DataFrame, key: str, value) -> DataFrame:
+    """(n): the size of one group of a histogram; no row for an unknown key."""
+    return hist.where(F.col(key) == value).select("n")
+
+
+def random_group(hist: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """One group of a histogram, drawn by a seeded hash of its key: the same in every run."""
+    return hist.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(1)
+
+
 def relation_stats(dt: DataFrame, da: DataFrame) -> DataFrame:
     """Grand totals of both relations as (stat, value) rows."""
     a = dt.agg(F.count("*").alias("dt_tuples"), F.countDistinct("doc").alias("docs"), F.countDistinct("term").alias("terms"), F.sum("freq").alias("total_freq"))

@@ -47,9 +47,19 @@ def load_dy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.year("o_orderdate").alias("year"))
 
 
+def load_words(spark: SparkSession, sf_dir: str, holding: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, words): the lower-case a-z words of each document, in order.
+
+    holding: words that the texts must contain at least as substrings; a cheap test that
+    spares the others' splitting.
+    """
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lower("text").alias("t"))
+    for w in holding:
+        rows = rows.where(F.contains("t", F.lit(w)))
+    return rows.select("doc", F.filter(F.split("t", "[^a-z]+"), lambda w: w != "").alias("words"))
+
+
 def load_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text-real dt: lower-case a-z words of documents.text with their counts."""
-    words = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("doc"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")
-    )
+    words = load_words(spark, sf_dir).select("doc", F.explode("words").alias("term"))
     return words.groupBy("doc", "term").agg(F.count("*").alias("freq"))
