@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import itertools
-import re
 import string
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -16,6 +14,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.shared import checkpoint as checkpoint
+from tessera.shared import remove as remove
+from tessera.shared import shared_folder as shared_folder
+from tessera.shared import stored as stored
+
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # a random odd 64-bit number for each byte
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -24,36 +27,6 @@ _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuat
 CHUNK_BYTES = 2 << 20  # text that one step of a vectorised operator holds
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which executors share. Where none is set, a temporary one in a local session (tests), else RuntimeError."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        path = sc.getConf().get("spark.checkpoint.dir")
-        if not path and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoint"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """Written to the shared folder and read again, and where; what is read has no partitioning, so a join may split its hot keys."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder, in whatever store it lies."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def bitmap(df: DataFrame, column: str, count: int, most: int) -> np.ndarray:
     """Bits of a long column's values at their low bits; about 16 for each of count values, and at most `most`."""
     bits = min(most, max(1 << 15, 1 << (16 * count).bit_length()))
