@@ -6,7 +6,7 @@ are compared as words, not as hashes.
 
 from __future__ import annotations
 
-from tessera.llm.decontaminate import AFTER, LEAST, LEAST_ITEM, MASKS, REACH, SHARE
+from tessera.llm.decontaminate import AFTER, LEAST, LEAST_ITEM, MASKS, REACH, RUN, SHARE
 from tessera.llm.substrings import WINDOW
 from tessera.llm.warc import LEAST_REVISIT
 
@@ -73,9 +73,19 @@ hit AS (
   SELECT DISTINCT doc_id, item_id, d.spot AS pos, i.spot AS q, doc_n, item_n
   FROM doc_seed AS d JOIN item_seed AS i USING (mask, seed) JOIN size USING (doc_id) JOIN item_size USING (item_id)
 ), near AS ({agree('hit', 'x.doc_id, x.item_id, x.pos, x.q, x.doc_n, x.item_n', '(x.pos - x.q)', f'greatest(q - {REACH}, 0, q - pos)', f'least(q + {AFTER}, item_n - 1, q + doc_n - 1 - pos)')}),
+aligned AS (
+  SELECT x.doc_id, x.item_id, x.pos, x.q, doc_n, item_n, x.j, d.word = i.word AS same
+  FROM (SELECT *, unnest(range(greatest(q - {RUN - 1}, 0, q - pos), least(q + {RUN - 1}, item_n - 1, q + doc_n - 1 - pos) + 1)) AS j FROM hit) AS x
+  JOIN doc AS d ON d.doc_id = x.doc_id AND d.spot = x.pos - x.q + x.j JOIN item AS i ON i.item_id = x.item_id AND i.spot = x.j
+), within AS (
+  SELECT doc_id, item_id, pos, q, doc_n, item_n, count(*) OVER ahead AS length, count(*) FILTER (same) OVER ahead AS matched FROM aligned
+  WINDOW ahead AS (PARTITION BY doc_id, item_id, pos, q ORDER BY j ROWS BETWEEN CURRENT ROW AND {RUN - 1} FOLLOWING)
+),
 judged AS (
   SELECT DISTINCT doc_id, item_id, pos - q AS start, doc_n, item_n FROM near
   WHERE matched >= greatest({LEAST_ITEM}, least({LEAST}, item_n)) AND matched >= {SHARE} * length AND length >= least({LEAST + 3}, item_n)
+  UNION
+  SELECT DISTINCT doc_id, item_id, pos - q, doc_n, item_n FROM within WHERE length = {RUN} AND matched >= {SHARE * RUN}
 ), measured AS ({agree('judged', 'x.doc_id, x.item_id, x.start', 'x.start', 'greatest(0, -start)', 'least(item_n, doc_n - start) - 1')}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start, length DESC) AS place FROM measured)
 SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(length AS INTEGER) AS length, CAST(matched AS INTEGER) AS matched, matched / length AS share

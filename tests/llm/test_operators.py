@@ -671,6 +671,18 @@ def test_packing(spark, texts, odd):
         packing.pack(odd, path, longest=1000)
 
 
+def test_packing_buckets(spark, tmp_path):
+    """Sequences of one length lie in one folder, with their ids."""
+    import os
+
+    df = spark.createDataFrame([(i, "word " * i) for i in range(70)], "doc_id long, text string")
+    packed = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), longest=32)
+    packing.write_buckets(packed, str(tmp_path / "b"))
+    assert sorted(x for x in os.listdir(tmp_path / "b") if x.startswith("bucket")) == [f"bucket={k}" for k in range(6)]
+    got = spark.read.parquet(str(tmp_path / "b"))
+    assert got.where("length <> 1 << bucket or length(ids) <> 4 * length or crc32(ids) <> ids_crc32").count() == 0 and got.count() == packed.count()
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(st.sampled_from(list("aAbß ÉÿÁ'st\t\n.,!0१世̈́ΣİſK<|>…")), max_size=40))
 def test_encoder_is_the_tokenizer(text):

@@ -1,6 +1,7 @@
 """The pipeline's stages on planted cases, and the whole of it on the small table."""
 
 import random
+import string
 
 import pytest
 
@@ -63,6 +64,32 @@ def test_run(spark):
     assert out.count() > 1000 and out.select("sequence_id").distinct().count() == out.count()
 
 
+def test_simhash_finds_what_brute_force_finds(spark):
+    """The same documents stay as by exact similarities of all pairs: no link is lost, and none is below 0.8."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    plain = str.maketrans({c: " " for c in string.punctuation})
+    sets, up = {}, {}
+    for i, t in sorted(rows):
+        w = (t or "").translate(plain).encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+        up[i] = i
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    every = sorted(sets)
+    for k, i in enumerate(every):
+        for j in every[:k]:
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and (a == b or 1.8 * len(a & b) >= 0.8 * (len(a) + len(b))):
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert ids(stage("simhash")(spark, docs, SF)) == sorted({find(i) for i in every})
+
+
 def test_simhash_similarity(spark):
     """Groups hang together over pairs of five-word shingle sets from 0.8 on: all such pairs, short texts too, and no others."""
     r = random.Random(8)
