@@ -17,6 +17,7 @@ repeated rows are packed once each; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import gc
 import itertools
 import re
 import zlib
@@ -30,8 +31,8 @@ from tessera.llm.common import chunks, keep, map_arrow
 
 SEQUENCE = 2048
 END = 1
-CHUNKS, PRETOKENS = 400_000, 200_000  # whose ids a Python worker keeps: about 130 MB
-CHUNK_CHARACTERS, LONG_PRETOKEN = 16_000_000, 64  # what it keeps of chunks in all; longer pre-tokens are not kept
+CHUNKS, PRETOKENS = 300_000, 200_000  # whose ids a Python worker keeps, in each of two generations: about 220 MB in all
+CHUNK_CHARACTERS, LONG_PRETOKEN = 8_000_000, 64  # what a generation keeps of chunks; longer pre-tokens are not kept
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int, ids binary"
 
@@ -48,11 +49,12 @@ class Encoder:
     New chunks of common Latin characters are cut into pre-tokens here, and those not yet
     known are encoded many at a time: the ids that end a word show where each one ends.
     Any other chunk goes through the whole tokenizer, and so does one that spells an added
-    token, such as the end of text, which the tokenizer gives that token's id.
+    token, such as the end of text, which the tokenizer gives that token's id. What is known is
+    kept in two generations: a full one becomes the old one, from which what occurs again is taken over.
     """
 
-    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")  # characters that no normalisation but lower-casing changes
-    PRETOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")  # fixed value: the tokenizer's own pattern, within PLAIN
+    OTHER = re.compile("[^\n]*[^!-~À-ÖØ-öø-ÿ\n][^\n]*")  # a line with characters that normalisation does more to than lower-casing
+    LINES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+|\n")  # fixed value: the tokenizer's own pattern for the rest, and line ends
 
     SEPARATORS = "\x1c\x1d\x1e\x1f"  # str.split takes them for white space, the tokenizer does not
     CHUNKS = re.compile(r"[\S\x1c-\x1f]+")
@@ -68,7 +70,9 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.chunks, self.ids, self.characters = Numbers(), [], 0
+        self.old_chunks, self.old_ids = Numbers(), []
         self.pretokens: dict[str, bytes] = {}
+        self.old_pretokens: dict[str, bytes] = {}
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -86,9 +90,9 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pretokens(self, new: list[str]) -> None:
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            ids = np.array(self.words.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        for at in range(0, len(new), 200):
+            part = new[at : at + 200]
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) != len(part) or cuts[-1] != len(ids):
                 self.pretokens.update(zip(part, self._whole(part)))
@@ -100,35 +104,60 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.chunks) > CHUNKS or self.characters > CHUNK_CHARACTERS:
+            self.old_chunks, self.old_ids = self.chunks, self.ids
             self.chunks, self.ids, self.characters = Numbers(), [], 0
         number, ids = self.chunks, self.ids
-        split = [list(map(number.__getitem__, self.split(t))) for t in texts]  # one look-up a chunk; new ones are numbered
-        new = list(itertools.islice(reversed(number), len(number) - len(ids)))[::-1]
-        self._fill(new)
-        return [b"".join(map(ids.__getitem__, s)) for s in split]
-
-    def _fill(self, new: list[str]) -> None:
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and each collection would walk all lists of chunks and pre-tokens
+        try:
+            split = [list(map(number.__getitem__, self.split(t))) for t in texts]  # one look-up a chunk; new ones are numbered
+            new = list(itertools.islice(reversed(number), len(number) - len(ids)))[::-1]
+            self.characters += sum(map(len, new))
+            ids += self._fill(new)
+            return [b"".join(map(ids.__getitem__, s)) for s in split]
+        finally:
+            if collects:
+                gc.enable()
+
+    def _fill(self, new: list[str]) -> list[bytes]:
         """Ids of newly numbered chunks, in order."""
-        cut, other, found = [], [], {}
-        for w in new:
-            if self.PLAIN.fullmatch(w) and not any(t in w for t in self.added):
-                cut.append(self.PRETOKENS.findall(w.lower()))
+        old = list(map(self.old_chunks.get, new))
+        new = [w for w, k in zip(new, old) if k is None]
+        # all chunks as lines of one text: what is not plain is found, and the rest cut, in one pass each
+        lines = "\n".join(new)
+        other = set(self.OTHER.findall(lines))
+        if any(t in lines for t in self.added):
+            other.update(w for w in new if any(t in w for t in self.added))
+        plain = [w for w in new if w not in other] if other else new
+        lower = "\n".join(plain).lower().split("\n") if plain else []
+        mixed = [w for w in lower if not w.isalpha()]  # letters alone are one pre-token
+        cut: list[list[str]] = [[]] if mixed else []
+        for p in self.LINES.findall("\n".join(mixed)):
+            if p == "\n":
+                cut.append([])
             else:
-                cut.append(None)
-                other.append(w)
-        unknown = {p for ps in cut if ps for p in ps}
+                cut[-1].append(p)
+        wanted = set(itertools.chain.from_iterable(cut))
+        wanted.update(filter(str.isalpha, lower))
+        unknown = wanted.difference(self.pretokens)
         if len(self.pretokens) + len(unknown) > PRETOKENS:
-            self.pretokens.clear()
+            self.old_pretokens, self.pretokens = self.pretokens, {}
+            unknown = wanted
         known = self.pretokens
-        unknown.difference_update(known)
-        self._pretokens(list(unknown))
-        self.characters += sum(map(len, new))
+        again = self.old_pretokens.keys() & unknown
+        known.update((p, self.old_pretokens[p]) for p in again)
+        self._pretokens(list(unknown.difference(again)))
+        joined = iter([b"".join([known[p] for p in ps]) for ps in cut])
+        found = [known[w] if w.isalpha() else next(joined) for w in lower]
         if other:
-            found = dict(zip(other, self._whole(other)))
-        self.ids += [found[w] if ps is None else known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for w, ps in zip(new, cut)]
+            rest = list(other)
+            whole, at = dict(zip(rest, self._whole(rest))), iter(found)
+            found = [whole[w] if w in whole else next(at) for w in new]
         for p in unknown:
             if len(p) > LONG_PRETOKEN:
                 del known[p]
+        at = iter(found)
+        return [next(at) if k is None else self.old_ids[k] for k in old]
 
 
 class Numbers(dict):
@@ -148,22 +177,27 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, end: int = EN
         raise ValueError("the longest sequence must be a power of two")
     tail = np.array([end], "<u4").tobytes()
 
+    rests = [tuple(pieces(n, longest)) for n in range(longest)]
+
     def run(batches):
         count = 0
         encoder = Encoder.get(tokenizer)
         for part in chunks(batches, "text"):
-            rows: list[list] = [[] for _ in range(9)]
-            for doc, pid, ids in zip(part.column("doc_id").to_pylist(), part.column("part").to_pylist(), encoder.encode([t or "" for t in part.column("text").to_pylist()])):
-                ids += tail
-                n, start = len(ids) // 4, 0
-                for length in pieces(n, longest):
-                    piece = ids[4 * start : 4 * (start + length)]
-                    row = (doc, start, length, zlib.crc32(piece), n, (pid << 40) + count, 0, length.bit_length() - 1, piece if keep_ids else None)
-                    for column, value in zip(rows, row):
-                        column.append(value)
-                    start, count = start + length, count + 1
+            ids = encoder.encode([t or "" for t in part.column("text").to_pylist()])
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4 + 1
+            data = memoryview(b"".join([x + tail for x in ids]))
+            cut = [(longest,) * (k // longest) + rests[k % longest] for k in n.tolist()]
+            each = np.fromiter(map(len, cut), np.int64, len(cut))
+            length = np.fromiter(itertools.chain.from_iterable(cut), np.int64, int(each.sum()))
+            end = np.cumsum(length)  # in all the ids of this part
+            row = np.repeat(np.arange(len(ids)), each)
+            spans = list(zip((4 * (end - length)).tolist(), (4 * end).tolist()))
+            crc = [zlib.crc32(data[a:z]) for a, z in spans]
+            kept = pa.array([data[a:z].tobytes() for a, z in spans], pa.binary()) if keep_ids else pa.nulls(len(spans), pa.binary())
+            sequence = (part.column("part").to_numpy()[row] << 40) + count + np.arange(len(row))
+            count += len(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(rows, [pa.int64()] * 7 + [pa.int32(), pa.binary()])],
+                [part.column("doc_id").take(pa.array(row)), *map(pa.array, (end - length - (np.cumsum(n) - n)[row], length)), pa.array(crc, pa.int64()), *map(pa.array, (n[row], sequence, np.zeros(len(row), np.int64), np.log2(length).astype(np.int32))), kept],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "ids"],
             )
 
