@@ -24,7 +24,7 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _STEP = 4096
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
-CHUNK_BYTES = 2 << 20  # text that one step of a vectorised operator holds
+CHUNK_BYTES = 1 << 20  # text that one step of a vectorised operator holds
 
 
 def bitmap(df: DataFrame, column: str, count: int, most: int) -> np.ndarray:
