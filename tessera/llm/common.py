@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import itertools
 import string
 import tempfile
@@ -196,10 +199,22 @@ def keep(owner: str) -> dict:
     return KEPT.setdefault(owner, {})
 
 
+_LAST: list[str] = []  # the module that this Python worker served last
+
+
 def _alone(owner: str) -> None:
-    """Drop what other modules keep: a worker that serves several stages holds the caches of one."""
+    """Drop what other modules keep, and give freed memory back: a worker that serves several stages holds what one needs."""
+    if _LAST == [owner]:
+        return
     for other in [k for k in KEPT if k != owner]:
         KEPT.pop(other).clear()
+    if _LAST:
+        Spans._cache = None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library can trim
+            ctypes.CDLL(None).malloc_trim(0)
+    _LAST[:] = [owner]
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:

@@ -31,7 +31,7 @@ from tessera.llm.common import chunks, keep, map_arrow
 
 SEQUENCE = 2048
 END = 1
-CHUNKS, PRETOKENS = 300_000, 200_000  # whose ids a Python worker keeps, in each of two generations: about 220 MB in all
+CHUNKS, PRETOKENS = 250_000, 150_000  # whose ids a Python worker keeps, in each of two generations: about 180 MB in all
 CHUNK_CHARACTERS, LONG_PRETOKEN = 8_000_000, 64  # what a generation keeps of chunks; longer pre-tokens are not kept
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int, ids binary"
