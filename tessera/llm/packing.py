@@ -5,8 +5,8 @@ powers of two: as many full sequences as fit, then the binary digits of the rest
 longest first. Each piece is a sequence of its own, so no sequence crosses documents and
 none is padded; sequences of equal length form a bucket, from which batches are drawn.
 
-Tokenising is by white-space chunks: the tokenizer drops white space and never joins
-across it, so a chunk's ids do not depend on its neighbours and are kept for the next time.
+Tokenising is by pre-tokens: the tokenizer drops white space and joins nothing across the
+borders of its pattern, so a pre-token's ids do not depend on its neighbours and are kept for the next time.
 
 Sequence ids are the partition number and a count within it: unique, and the same when a
 lost task runs again. No row is shuffled.
@@ -31,8 +31,8 @@ from tessera.llm.common import chunks, keep, map_arrow
 
 SEQUENCE = 2048
 END = 1
-CHUNKS, PRETOKENS = 250_000, 150_000  # whose ids a Python worker keeps, in each of two generations: about 180 MB in all
-CHUNK_CHARACTERS, LONG_PRETOKEN = 8_000_000, 64  # what a generation keeps of chunks; longer pre-tokens are not kept
+PRETOKENS = 300_000  # whose ids a Python worker keeps, in each of two generations
+CHUNK_CHARACTERS, LONG_PRETOKEN = 8_000_000, 64  # new characters after which a generation is full; longer pre-tokens are not kept
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int, ids binary"
 
@@ -46,18 +46,19 @@ def pieces(n: int, longest: int = SEQUENCE) -> list[int]:
 class Encoder:
     """Ids of texts by a lower-casing BPE tokenizer with word ends, as little-endian uint32 bytes.
 
-    New chunks of common Latin characters are cut into pre-tokens here, and those not yet
-    known are encoded many at a time: the ids that end a word show where each one ends.
-    Any other chunk goes through the whole tokenizer, and so does one that spells an added
-    token, such as the end of text, which the tokenizer gives that token's id. What is known is
+    Texts of common Latin characters are cut into pre-tokens here, and those not yet known are
+    encoded many at a time: the ids that end a word show where each one ends. In other texts a
+    chunk with any other character goes through the whole tokenizer, and so does one that spells
+    an added token, such as the end of text, which the tokenizer gives that token's id. What is known is
     kept in two generations: a full one becomes the old one, from which what occurs again is taken over.
     """
 
-    OTHER = re.compile("[^\n]*[^!-~À-ÖØ-öø-ÿ\n][^\n]*")  # a line with characters that normalisation does more to than lower-casing
-    LINES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+|\n")  # fixed value: the tokenizer's own pattern for the rest, and line ends
+    OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]")  # normalisation does more to these than lower-casing
+    PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^a-z0-9ß-öø-ÿ\t-\r ]+")  # fixed value: the tokenizer's own pattern for the rest
 
     SEPARATORS = "\x1c\x1d\x1e\x1f"  # str.split takes them for white space, the tokenizer does not
     CHUNKS = re.compile(r"[\S\x1c-\x1f]+")
+    MARK = " "  # leads the key of a chunk that goes through the whole tokenizer; no pre-token has one
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
@@ -69,10 +70,9 @@ class Encoder:
         vocab = self.whole.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.chunks, self.ids, self.characters = Numbers(), [], 0
-        self.old_chunks, self.old_ids = Numbers(), []
         self.pretokens: dict[str, bytes] = {}
         self.old_pretokens: dict[str, bytes] = {}
+        self.characters = 0
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -86,6 +86,18 @@ class Encoder:
         """Chunks between what the tokenizer takes for white space."""
         return cls.CHUNKS.findall(text) if any(c in text for c in cls.SEPARATORS) else text.split()
 
+    def _special(self, text: str) -> bool:
+        return self.OTHER.search(text) is not None or any(a in text for a in self.added)
+
+    def _cut(self, text: str) -> list[str]:
+        """Keys of the text's pre-tokens, and of chunks that are encoded whole, in order."""
+        if not self._special(text):
+            return self.PIECES.findall(text.lower())
+        keys: list[str] = []
+        for special, run in itertools.groupby(self.split(text), self._special):
+            keys += [self.MARK + c for c in run] if special else self.PIECES.findall(" ".join(run).lower())
+        return keys
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -103,70 +115,29 @@ class Encoder:
                 last = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > CHUNKS or self.characters > CHUNK_CHARACTERS:
-            self.old_chunks, self.old_ids = self.chunks, self.ids
-            self.chunks, self.ids, self.characters = Numbers(), [], 0
-        number, ids = self.chunks, self.ids
+        if len(self.pretokens) > PRETOKENS or self.characters > CHUNK_CHARACTERS:
+            self.old_pretokens, self.pretokens, self.characters = self.pretokens, {}, 0
+        known, old = self.pretokens, self.old_pretokens
         collects = gc.isenabled()
-        gc.disable()  # nothing here is cyclic, and each collection would walk all lists of chunks and pre-tokens
+        gc.disable()  # nothing here is cyclic, and each collection would walk all lists of pre-tokens
         try:
-            split = [list(map(number.__getitem__, self.split(t))) for t in texts]  # one look-up a chunk; new ones are numbered
-            new = list(itertools.islice(reversed(number), len(number) - len(ids)))[::-1]
-            self.characters += sum(map(len, new))
-            ids += self._fill(new)
-            return [b"".join(map(ids.__getitem__, s)) for s in split]
+            cut = list(map(self._cut, texts))
+            unknown = set().union(*cut).difference(known)
+            self.characters += sum(map(len, unknown))
+            known.update((k, old[k]) for k in old.keys() & unknown)
+            new = [k for k in unknown if k not in known]
+            self._pretokens([k for k in new if k[0] != self.MARK])
+            special = [k for k in new if k[0] == self.MARK]
+            known.update(zip(special, self._whole([k[1:] for k in special])))
+            found = [b"".join(map(known.__getitem__, keys)) for keys in cut]
+            for k in new:
+                if len(k) > LONG_PRETOKEN:
+                    del known[k]
+            return found
         finally:
             if collects:
                 gc.enable()
 
-    def _fill(self, new: list[str]) -> list[bytes]:
-        """Ids of newly numbered chunks, in order."""
-        old = list(map(self.old_chunks.get, new))
-        new = [w for w, k in zip(new, old) if k is None]
-        # all chunks as lines of one text: what is not plain is found, and the rest cut, in one pass each
-        lines = "\n".join(new)
-        other = set(self.OTHER.findall(lines))
-        if any(t in lines for t in self.added):
-            other.update(w for w in new if any(t in w for t in self.added))
-        plain = [w for w in new if w not in other] if other else new
-        lower = "\n".join(plain).lower().split("\n") if plain else []
-        mixed = [w for w in lower if not w.isalpha()]  # letters alone are one pre-token
-        cut: list[list[str]] = [[]] if mixed else []
-        for p in self.LINES.findall("\n".join(mixed)):
-            if p == "\n":
-                cut.append([])
-            else:
-                cut[-1].append(p)
-        wanted = set(itertools.chain.from_iterable(cut))
-        wanted.update(filter(str.isalpha, lower))
-        unknown = wanted.difference(self.pretokens)
-        if len(self.pretokens) + len(unknown) > PRETOKENS:
-            self.old_pretokens, self.pretokens = self.pretokens, {}
-            unknown = wanted
-        known = self.pretokens
-        again = self.old_pretokens.keys() & unknown
-        known.update((p, self.old_pretokens[p]) for p in again)
-        self._pretokens(list(unknown.difference(again)))
-        joined = iter([b"".join([known[p] for p in ps]) for ps in cut])
-        found = [known[w] if w.isalpha() else next(joined) for w in lower]
-        if other:
-            rest = list(other)
-            whole, at = dict(zip(rest, self._whole(rest))), iter(found)
-            found = [whole[w] if w in whole else next(at) for w in new]
-        for p in unknown:
-            if len(p) > LONG_PRETOKEN:
-                del known[p]
-        at = iter(found)
-        return [next(at) if k is None else self.old_ids[k] for k in old]
-
-
-class Numbers(dict):
-    """Numbers keys by their first look-up."""
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
-
 
 def pack(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, end: int = END, keep_ids: bool = True) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket (log2 of the length), ids.
