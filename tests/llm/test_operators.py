@@ -703,6 +703,24 @@ def test_encoder_is_a_fresh_tokenizer(text):
 FRESH = {}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["'", "''", "'s", "'ll", "'re", "'r", "'VE ", "s", "e", "é" * 12, "x" * 23, "x" * 24, "x" * 25, " ", "\n", "\x0b", "1", ".", "%%%", "Ünd "]), max_size=14).map("".join), max_size=5), st.booleans())
+def test_encoder_by_arrays(texts, collide):
+    """Clitics, words around the length of a key, texts without words, blocks within a text; with all hashes equal too."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    fresh = FRESH.setdefault(path, Tokenizer.from_file(path))
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = packing.Encoder.get(path)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "BLOCK", 16)
+        if collide:
+            patch.setattr(packing, "mix", lambda x, salt: np.zeros_like(x))
+        encoder.table = packing.Table()
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    encoder.table = packing.Table()
+
+
 # shared
 
 
