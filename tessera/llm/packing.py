@@ -48,19 +48,16 @@ def pieces(n: int, longest: int = SEQUENCE) -> list[int]:
 class Encoder:
     """Ids of texts by a lower-casing BPE tokenizer with word ends, as little-endian uint32 bytes.
 
-    Texts of common Latin characters are cut into pre-tokens here, and the distinct ones that are not
-    yet known are encoded many at a time: the ids that end a word show where each one ends. In other texts a
+    Stretches of common Latin characters are cut into pre-tokens here, and the distinct ones that are not
+    yet known are encoded many at a time: the ids that end a word show where each one ends. A white-space
     chunk with any other character goes through the whole tokenizer, and so does one that spells
     an added token, such as the end of text, which the tokenizer gives that token's id. What is known is
     kept in two generations: a full one becomes the old one, from which what occurs again is taken over.
-    In front of them stands a table of arrays, which most pre-tokens of plain texts are found in.
+    In front of them stands a table of arrays, which most pre-tokens of plain stretches are found in.
     """
 
     OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]")  # normalisation does more to these than lower-casing
-    PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^a-z0-9ß-öø-ÿ\t-\r ]+")  # fixed value: the tokenizer's own pattern for the rest
-
-    SEPARATORS = "\x1c\x1d\x1e\x1f"  # str.split takes them for white space, the tokenizer does not
-    CHUNKS = re.compile(r"[\S\x1c-\x1f]+")
+    WHITE = re.compile(r"[^\S\x1c-\x1f]")  # to the tokenizer; str.split would take four separators for white space too
     MARK = " "  # leads the key of a chunk that goes through the whole tokenizer; no pre-token has one
 
     def __init__(self, path: str) -> None:
@@ -70,6 +67,7 @@ class Encoder:
         self.words = Tokenizer(self.whole.model)
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.either = re.compile("|".join([self.OTHER.pattern, *map(re.escape, self.added)]))
         vocab = self.whole.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -85,22 +83,21 @@ class Encoder:
             kept[path] = cls(path)
         return kept[path]
 
-    @classmethod
-    def split(cls, text: str) -> list[str]:
-        """Chunks between what the tokenizer takes for white space."""
-        return cls.CHUNKS.findall(text) if any(c in text for c in cls.SEPARATORS) else text.split()
-
-    def _special(self, text: str) -> bool:
-        return self.OTHER.search(text) is not None or any(a in text for a in self.added)
-
-    def _cut(self, text: str) -> list[str]:
-        """Keys of the text's pre-tokens, and of chunks that are encoded whole, in order."""
-        if not self._special(text):
-            return self.PIECES.findall(text.lower())
-        keys: list[str] = []
-        for special, run in itertools.groupby(self.split(text), self._special):
-            keys += [self.MARK + c for c in run] if special else self.PIECES.findall(" ".join(run).lower())
-        return keys
+    def _parts(self, text: str) -> list[str]:
+        """Plain stretches of the text, with a chunk that has a special character or added token between any two."""
+        added = any(t in text for t in self.added)
+        if not added and not self.OTHER.search(text):
+            return [text]
+        text = self.WHITE.sub(" ", text)
+        special = self.either if added else self.OTHER
+        parts, done = [], 0
+        while m := special.search(text, done):
+            begin = text.rfind(" ", done, m.start()) + 1 or done
+            end = text.find(" ", m.end())
+            end = end if end >= 0 else len(text)
+            parts += [text[done:begin], text[begin:end]]
+            done = end
+        return [*parts, text[done:]]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
@@ -124,12 +121,10 @@ class Encoder:
         collects = gc.isenabled()
         gc.disable()  # nothing here is cyclic, and each collection would walk all lists of pre-tokens
         try:
-            special = list(map(self._special, texts))
-            plain = iter(self._plain([t for t, s in zip(texts, special) if not s]))
-            cut = [self._cut(t) for t, s in zip(texts, special) if s]
-            known = self._known(set().union(*cut))
-            other = iter([b"".join(map(known.__getitem__, keys)) for keys in cut])
-            return [next(other if s else plain) for s in special]
+            parts = list(map(self._parts, texts))
+            plain = iter(self._plain([p for ps in parts for p in ps[::2]]))
+            known = self._known({self.MARK + p for ps in parts for p in ps[1::2]})
+            return [b"".join([known[self.MARK + p] if i % 2 else next(plain) for i, p in enumerate(ps)]) for ps in parts]
         finally:
             if collects:
                 gc.enable()
@@ -187,7 +182,10 @@ _LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks of the
 
 
 def cuts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where pre-tokens start and end in lower-cased bytes of plain Latin text that end in white space."""
+    """Where pre-tokens start and end in lower-cased bytes of plain Latin text that end in white space.
+
+    Fixed rule, the tokenizer's own: 's 't 're 've 'm 'll 'd, a run of letters, a digit, a run of anything else.
+    """
     kind = _KIND[data]
     filled = kind != _SPACE
     begins = filled.copy()
