@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tessera.functions.ranges import bisect, sampled_bounds
 
 BLOCK = 4096  # values in a packed block, at most
-MAX_SYMBOLS = 65_536  # distinct symbols a Huffman table may have; more raise ValueError
 
 
 def rle_encode(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
@@ -63,40 +62,83 @@ def symbol_frequencies(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy(F.col(value).alias("symbol")).agg(F.count("*").alias("freq"))
 
 
-def huffman_lengths(freqs: list[tuple[int, int]]) -> dict[int, int]:
-    """Code length of each symbol. Ties go to the smaller count, then the smallest symbol below a node; one symbol gets 1 bit."""
-    if len(freqs) == 1:
-        return {freqs[0][0]: 1}
-    heap: list[tuple[int, int, list[int]]] = [(n, s, [s]) for s, n in freqs]
-    heapq.heapify(heap)
-    depth = dict.fromkeys((s for s, _ in freqs), 0)
-    while len(heap) > 1:
-        (n1, s1, a), (n2, s2, b) = heapq.heappop(heap), heapq.heappop(heap)
-        for s in a:
-            depth[s] += 1
-        for s in b:
-            depth[s] += 1
-        heapq.heappush(heap, (n1 + n2, min(s1, s2), a + b))
-    return depth
+def huffman_lengths(symbol: np.ndarray, freq: np.ndarray) -> np.ndarray:
+    """Code length of each of some distinct symbols with counts of at least 1. Ties go to the smaller count, then the smallest symbol below a node; one symbol gets 1 bit.
 
+    All nodes of one count are merged in a step: a merged node counts more than both its
+    parts, so the nodes of the least count are complete when it is their turn.
+    """
+    n = len(symbol)
+    if n < 2:
+        return np.ones(n, np.int64)
+    order = np.lexsort((symbol, freq))
+    least = np.empty(2 * n - 1, np.int64)  # the smallest symbol below each node: leaves in order, then merged nodes
+    least[:n] = symbol[order]
+    counts, edge = np.unique(freq[order], return_index=True)
+    edge = np.append(edge, n).tolist()
+    waiting = {w: [np.arange(lo, hi)] for w, lo, hi in zip(counts.tolist(), edge, edge[1:])}
+    heap, steps, made, odd = sorted(waiting), [], n, None
+
+    def merge(a: np.ndarray, b: np.ndarray, w: int) -> None:
+        nonlocal made
+        to = np.arange(made, made + len(a))
+        least[to] = np.minimum(least[a], least[b])
+        steps.append((a, b, to))
+        made += len(a)
+        if w not in waiting:
+            waiting[w] = []
+            heapq.heappush(heap, w)
+        waiting[w].append(to)
+
+    while heap:
+        w = heapq.heappop(heap)
+        nodes = np.concatenate(waiting.pop(w))
+        nodes = nodes[np.argsort(least[nodes])]
+        if odd is not None:  # one node of a smaller count is left
+            merge(odd[0], nodes[:1], odd[1] + w)
+            nodes, odd = nodes[1:], None
+        even = len(nodes) // 2 * 2
+        if even:
+            merge(nodes[:even:2], nodes[1:even:2], 2 * w)
+        if even < len(nodes):
+            odd = nodes[even:], w
+    depth = np.zeros(2 * n - 1, np.int64)
+    for a, b, to in reversed(steps):
+        depth[a] = depth[b] = depth[to] + 1
+    out = np.empty(n, np.int64)
+    out[order] = depth[:n]
+    return out
+
+
+def _lengths(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, their counts and code lengths, by length and symbol. The table of distinct symbols, 16 bytes each, is all that reaches the driver."""
+    rows = symbol_frequencies(df.where(F.col(value).isNotNull()), value).select(F.col("symbol").cast("long"), "freq").toArrow()
+    symbol, freq = (rows.column(c).to_numpy() for c in ("symbol", "freq"))
+    length = huffman_lengths(symbol, freq)
+    order = np.lexsort((symbol, length))
+    return symbol[order], freq[order], length[order]
+
+
+def huffman_code_lengths(df: DataFrame, value: str) -> DataFrame:
+    """(symbol, freq, length): what huffman_codes gives, without the codes."""
+    symbol, freq, length = _lengths(df, value)
+    return _rows(df, {"symbol": pa.array(symbol), "freq": pa.array(freq), "length": pa.array(length.astype(np.int32))})
 
-def huffman_codes(df: DataFrame, value: str) -> DataFrame:
-    """(symbol, freq, length, code): canonical codes from the column's symbol counts.
 
-    Only the table of distinct symbols reaches the driver, and at most MAX_SYMBOLS of it.
-    """
-    spark = df.sparkSession
-    rows = symbol_frequencies(df.where(F.col(value).isNotNull()), value).limit(MAX_SYMBOLS + 1).collect()
-    if len(rows) > MAX_SYMBOLS:
-        raise ValueError(f"more than {MAX_SYMBOLS} distinct symbols")
-    freq = {r["symbol"]: r["freq"] for r in rows}
-    lengths = huffman_lengths(sorted(freq.items())) if freq else {}
-    code, last, table = 0, 0, []
-    for n, s in sorted((n, s) for s, n in lengths.items()):
+def huffman_codes(df: DataFrame, value: str) -> DataFrame:
+    """(symbol, freq, length, code): canonical codes from the column's symbol counts."""
+    symbol, freq, length = _lengths(df, value)
+    code, last, codes = 0, 0, []
+    for n in length.tolist():
         code <<= n - last
-        table.append((s, freq[s], n, format(code, f"0{n}b")))
+        codes.append(format(code, f"0{n}b"))
         code, last = code + 1, n
-    return spark.createDataFrame(table, "symbol long, freq long, length int, code string")
+    return _rows(df, {"symbol": pa.array(symbol), "freq": pa.array(freq), "length": pa.array(length.astype(np.int32)), "code": pa.array(codes, pa.string())})
+
+
+def _rows(df: DataFrame, columns: dict[str, pa.Array]) -> DataFrame:
+    kinds = {"symbol": "long", "freq": "long", "length": "int", "code": "string"}
+    return df.sparkSession.createDataFrame(pa.table(columns), ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def huffman_size_estimate(codes: DataFrame, width: int = 16) -> DataFrame:
@@ -121,13 +163,14 @@ class _Table:
 
     PEEK = 56  # bits looked at for one symbol
 
-    def __init__(self, rows: list) -> None:
-        order = sorted(rows, key=lambda r: (r["length"], r["symbol"]))
-        self.symbol = np.array([r["symbol"] for r in order], np.int64)
-        self.length = np.array([r["length"] for r in order], np.int64)
+    def __init__(self, rows: list | pa.Table) -> None:
+        found = rows.select(["symbol", "length", "code"]) if isinstance(rows, pa.Table) else pa.table({c: [r[c] for r in rows] for c in ("symbol", "length", "code")})
+        symbol, length = (np.asarray(found.column(c), np.int64) for c in ("symbol", "length"))
+        order = np.lexsort((symbol, length))
+        self.symbol, self.length = symbol[order], length[order]
         if len(order) and self.length[-1] > self.PEEK:
             raise ValueError(f"codes of more than {self.PEEK} bits")
-        self.code = np.array([int(r["code"], 2) for r in order], np.uint64)
+        self.code = np.array([int(x, 2) for x in found.column("code").to_pylist()], np.uint64)[order]
         self.aligned = self.code << (self.PEEK - self.length).astype(np.uint64)  # ascending, as codes are canonical
         self.by_symbol = np.argsort(self.symbol)
 
@@ -170,7 +213,7 @@ def huffman_encode(df: DataFrame, codes: DataFrame, group: str, order: str, valu
     without a code are left out.
     """
     kind = df.schema[group].dataType.simpleString()
-    table = df.sparkSession.sparkContext.broadcast(_Table(codes.collect()))  # at most MAX_SYMBOLS rows
+    table = df.sparkSession.sparkContext.broadcast(_Table(codes.toArrow()))  # the table of distinct symbols
     rows = df.select(F.col(group).alias("g"), F.col(order).cast("long").alias("o"), F.col(value).cast("long").alias("v")).join(F.broadcast(codes.select(F.col("symbol").alias("v"))), "v", "left_semi")
     dealt = rows.repartitionByRange("g", "o").sortWithinPartitions("g", "o", "v").select("g", "o", "v")
 
@@ -191,7 +234,7 @@ def huffman_encode(df: DataFrame, codes: DataFrame, group: str, order: str, valu
 
 
 def _decoded(encoded: DataFrame, codes: DataFrame, emit, schema: str) -> DataFrame:
-    table = encoded.sparkSession.sparkContext.broadcast(_Table(codes.collect()))  # at most MAX_SYMBOLS rows
+    table = encoded.sparkSession.sparkContext.broadcast(_Table(codes.toArrow()))  # the table of distinct symbols
 
     def run(batches):
         for b in batches:

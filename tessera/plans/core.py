@@ -365,7 +365,7 @@ def huffman_size_estimate(spark, d):
 
 @_query("huffman_length_histogram", _recursive(*_huffman("term"), "SELECT CAST(length AS BIGINT) AS length, count(*) AS n FROM code GROUP BY 1"))
 def huffman_length_histogram(spark, d):
-    return encode.huffman_length_histogram(encode.huffman_codes(load_dt(spark, d), "term"))
+    return encode.huffman_length_histogram(encode.huffman_code_lengths(load_dt(spark, d), "term"))
 
 
 def _encoded(spark, d):

@@ -1,5 +1,8 @@
+import heapq
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +158,37 @@ def test_huffman_large_group_is_several_tasks(spark):
         encode._Table([{"symbol": i, "length": 57 + i, "code": "0"} for i in range(2)])
 
 
+def test_huffman_lengths_merge_in_order():
+    """The lengths of a heap of nodes that are merged one by one, for all sorts of ties."""
+    r = random.Random(2)
+    cases = [[r.choice(c) for _ in range(n)] for n in (2, 3, 4, 7, 50, 333) for c in ([1], [1, 2], [1, 2, 3, 5, 8, 13], range(1, 60), [1] * 9 + [500])]
+    for freqs in [*cases, [1, 1, 2, 3, 5, 8, 13, 21, 34], [7]]:
+        symbols = r.sample(range(-1000, 1000), len(freqs))
+        heap, depth = sorted((n, s, [s]) for s, n in zip(symbols, freqs)), dict.fromkeys(symbols, 0)
+        while len(heap) > 1:
+            (n1, s1, a), (n2, s2, b) = heapq.heappop(heap), heapq.heappop(heap)
+            for s in a + b:
+                depth[s] += 1
+            heapq.heappush(heap, (n1 + n2, min(s1, s2), a + b))
+        got = encode.huffman_lengths(np.array(symbols), np.array(freqs))
+        assert got.tolist() == [max(depth[s], 1) for s in symbols]
+
+
+@pytest.fixture(scope="module")
+def many_symbols(spark):
+    return spark.range(200_000).selectExpr("id % 100000 - 7 as v", "id div 64 as g", "id as i")
+
+
+def test_huffman_histogram_of_many_symbols(many_symbols):
+    """100,000 symbols twice each: 2**17 - 100,000 codes of 16 bits, the others of 17."""
+    want = {16: 31_072, 17: 68_928}
+    assert dict(pairs(encode.huffman_length_histogram(encode.huffman_code_lengths(many_symbols, "v")))) == want
+    codes = encode.huffman_codes(many_symbols, "v")
+    assert dict(pairs(encode.huffman_length_histogram(codes))) == want
+    packed = encode.huffman_encode(many_symbols, codes, "g", "i", "v")
+    assert encode.sum_over_huffman(packed, codes).first()[0] == 2 * sum(range(-7, 99_993))
+
+
 def test_bitmaps(spark, tmp_path):
     a = {1: {1, 5, 32_768, 32_769, 100_000}, 2: {0, 7}, 3: {9}}
     b = {1: {5, 32_769, 70_000}, 3: {9}, 4: {-3, 40_000}}
