@@ -360,7 +360,7 @@ def _recursive(*parts: str) -> str:
 )
 def huffman_size_estimate(spark, d):
     """The column of terms, from the histogram of documents per term."""
-    return encode.huffman_size_estimate(encode.huffman_codes(load_dt(spark, d), "term"))
+    return encode.huffman_size_estimate(encode.huffman_code_lengths(load_dt(spark, d), "term"))
 
 
 @_query("huffman_length_histogram", _recursive(*_huffman("term"), "SELECT CAST(length AS BIGINT) AS length, count(*) AS n FROM code GROUP BY 1"))

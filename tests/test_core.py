@@ -189,6 +189,11 @@ def test_huffman_histogram_of_many_symbols(many_symbols):
     assert encode.sum_over_huffman(packed, codes).first()[0] == 2 * sum(range(-7, 99_993))
 
 
+def test_huffman_estimate_of_many_symbols(many_symbols):
+    r = encode.huffman_size_estimate(encode.huffman_code_lengths(many_symbols, "v")).first()
+    assert tuple(r) == (16 * 200_000, 2 * (16 * 31_072 + 17 * 68_928), 2 * (16 * 31_072 + 20 * 68_928), 200_000, 100_000, 17)
+
+
 def test_bitmaps(spark, tmp_path):
     a = {1: {1, 5, 32_768, 32_769, 100_000}, 2: {0, 7}, 3: {9}}
     b = {1: {5, 32_769, 70_000}, 3: {9}, 4: {-3, 40_000}}
