@@ -17,8 +17,15 @@ BUCKET_BITS = 32_768
 SCHEMA = "key long, bucket long, bits binary"
 
 
-def from_rows(rows: DataFrame, key: str, position: str) -> DataFrame:
-    """The positions of each key as bitmaps."""
+def from_rows(rows: DataFrame, key: str, position: str, sparse: bool = False) -> DataFrame:
+    """The positions of each key as bitmaps.
+
+    sparse: for rows that hardly repeat and are few in a bucket. These move as they are and
+    become a bitmap of 4,096 bytes only where it stays; else partial bitmaps move.
+    """
+    if sparse:
+        dealt = rows.select(F.col(key).alias("key"), F.expr(f"bitmap_bucket_number({position})").alias("bucket"), F.expr(f"bitmap_bit_position({position})").alias("_bit")).repartition("key", "bucket")
+        return dealt.groupBy("key", "bucket").agg(F.expr("bitmap_construct_agg(_bit)").alias("bits"))
     return rows.groupBy(F.col(key).alias("key"), F.expr(f"bitmap_bucket_number({position})").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({position}))").alias("bits"))
 
 
@@ -93,11 +100,14 @@ def _wordwise(both: DataFrame, operation) -> DataFrame:
     return both.select("key", "bucket", "x", "y").mapInArrow(run, SCHEMA)
 
 
-def _set_positions(bucket: int, bits: bytes) -> np.ndarray:
-    at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
+def _positions_of(bucket: int, at: np.ndarray) -> np.ndarray:
     return at + (bucket - 1) * BUCKET_BITS + 1 if bucket > 0 else bucket * BUCKET_BITS - at
 
 
+def _set_positions(bucket: int, bits: bytes) -> np.ndarray:
+    return _positions_of(bucket, np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")))
+
+
 def positions(bitmaps: DataFrame) -> DataFrame:
     """(key, position): the set bits, as rows again."""
 
@@ -123,3 +133,32 @@ def position_sums(bitmaps: DataFrame) -> DataFrame:
 
     found = bitmaps.select("key", "bucket", "bits").mapInArrow(run, "key long, total long")
     return found.groupBy("key").agg(F.sum("total").alias("total"))
+
+
+def differences(lists: DataFrame, key: str, bitmaps: DataFrame) -> DataFrame:
+    """(key, position, missing_in): members that the lists (key, elements) have and the bitmaps have not, or the other way round.
+
+    Bucket by bucket: where every member of a list has its bit and no more bits are set, both
+    hold the same, which built-in functions tell from the bits themselves. The other buckets
+    alone are turned to rows. Keys have one list each, buckets one bitmap each.
+    """
+    members = lists.select(F.col(key).cast("long").alias("key"), F.explode("elements").alias("p")).where("p is not null")
+    dealt = members.select("key", F.expr("bitmap_bucket_number(p)").alias("bucket"), F.expr("bitmap_bit_position(p)").alias("_bit")).repartition("key", "bucket")
+    listed = dealt.groupBy("key", "bucket").agg(F.collect_set("_bit").alias("at"))
+    byte = "ascii(decode(substring(bits, cast(b div 8 as int) + 1, 1), 'ISO-8859-1'))"
+    same = f"size(at) = bitmap_count(bits) and forall(at, b -> shiftright({byte}, cast(b % 8 as int)) & 1 = 1)"
+    open_ = listed.join(bitmaps.select("key", "bucket", "bits"), ["key", "bucket"], "full").where(f"not coalesce({same}, false)")
+    # brings the two rows of a null key together
+    rows = open_.groupBy("key", "bucket").agg(F.first("at", True).alias("at"), F.first("bits", True).alias("bits"))
+
+    def run(batches):
+        for b in batches:
+            for k, bucket, at, bits in zip(*(b.column(c).to_pylist() for c in ("key", "bucket", "at", "bits"))):
+                listed, held = _positions_of(bucket, np.array(at or [], np.int64)), _set_positions(bucket, bits or b"")
+                less, more = np.setdiff1d(listed, held), np.setdiff1d(held, listed)
+                n = len(less) + len(more)
+                if n:
+                    where = pa.array(["bitmap"] * len(less) + ["list"] * len(more), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int64()), pa.array(np.append(less, more)), where], ["key", "position", "missing_in"])
+
+    return rows.select("key", "bucket", "at", "bits").mapInArrow(run, "key long, position long, missing_in string")

@@ -51,7 +51,7 @@ def count_docs_in_context(dt: DataFrame, terms: Iterable | DataFrame) -> DataFra
 
 def posting_bitmaps(dt: DataFrame) -> DataFrame:
     """(key, bucket, bits): documents of each term as bitmaps."""
-    return bitmaps.from_rows(dt, "term", "doc")
+    return bitmaps.from_rows(dt, "term", "doc", sparse=True)
 
 
 def count_docs_in_context_bitmap(postings: DataFrame, terms: Iterable) -> DataFrame:

@@ -436,7 +436,7 @@ def bitmap_algebra(spark, d):
 def fragment_check(spark, d):
     """Members in which each term's list and bitmap of documents differ: none."""
     dt = load_dt(spark, d)
-    return generators.fragment_differences(generators.fragments(dt, "term", "doc"), "term", bitmaps.positions(division.posting_bitmaps(dt)))
+    return bitmaps.differences(generators.fragments(dt, "term", "doc"), "term", division.posting_bitmaps(dt))
 
 
 @_query("directory_docs_in_context", _with(DT, CTX, "SELECT doc FROM ctx"))

@@ -216,6 +216,30 @@ def test_bitmaps(spark, tmp_path):
         bitmaps.combine(x, y, "nand")
 
 
+def test_bitmap_differences(spark):
+    """Lists and bitmaps are compared bucket by bucket; where they differ, and there alone, members are named."""
+    make = lambda x: spark.createDataFrame([(k, p) for k, ps in x.items() for p in ps], "k long, p long")
+    a = {1: {1, 8, 9, 16, 32_768, 32_769, 100_000}, 2: {0, -7, -40_000, 7}, 3: {9}, 5: set(range(1, 33_000)), None: {4, 5}}
+    b = {1: {1, 8, 9, 15, 32_768, 32_769}, 2: {0, -7, -40_001, 7}, 4: {50_000}, 5: set(range(1, 33_000)), None: {5, 6}}
+    lists = generators.fragments(make(a).union(make({3: {9}})), "k", "p")
+    for sparse in (True, False):
+        assert bitmaps.differences(lists, "k", bitmaps.from_rows(make(a), "k", "p", sparse)).count() == 0
+        held = bitmaps.from_rows(make(b), "k", "p", sparse)
+        got = pairs(bitmaps.differences(lists, "k", held))
+        flat = lambda m: {(k, p) for k, ps in m.items() for p in ps}
+        want = {(k, p, "bitmap") for k, p in flat(a) - flat(b)} | {(k, p, "list") for k, p in flat(b) - flat(a)}
+        assert set(got) == want and len(got) == len(want)
+        named = generators.fragment_differences(lists.where("k is not null"), "k", bitmaps.positions(held.where("key is not null")))
+        assert set(pairs(named)) == {x for x in want if x[0] is not None}
+    assert bitmaps.differences(lists.limit(0), "k", held.limit(0)).count() == 0
+
+
+def test_fragment_check_compares_buckets(spark):
+    """Bitmaps are not turned to rows, but for the buckets that differ, and no exchange of all rows tells them apart."""
+    plan = core.QUERIES["fragment_check"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Except" not in plan and "replicaterows" not in plan.lower()
+
+
 def test_bucketed_copies_need_no_exchange(spark, dt, da):
     kept = layout.bucketed(dt, da, 4)
     try:
