@@ -20,9 +20,10 @@ table of hot keys to broadcast has MAX_HOT rows at most) is split before its row
 by the fingerprint's bits at TABLES random choices of positions, so that texts which merely
 share a line part; in step 2 by the minima. What is hot even then is a crowd of texts all near
 to each other: it is dealt into blocks at random, DEALINGS times, each block with the same
-ANCHORS of its members, drawn at random, so that the blocks hang together through them. A
-text of such a crowd stays apart only if it is near to no anchor and to none of its block in
-any dealing under any of its keys.
+ANCHORS of its members, drawn at random, so that the blocks hang together through them.
+Neither loses a link: what does not hang together then under a hot key is compared in full,
+all of it with all nodes of the key, in pairs of parts. This costs the size of a crowd times
+the number of its nodes outside its largest group.
 
 Defined cases: null text counts as empty; all documents without words are one group; rows
 that share a doc_id, or have none, are documents of their own, told apart by their text; an
@@ -188,6 +189,27 @@ def dealt(keyed: DataFrame, hot: DataFrame | None) -> DataFrame:
     return _marked(keyed, hot).withColumn("key", F.explode(to)).drop("n", "parts")
 
 
+def rest(keyed: DataFrame, hot: DataFrame, links: DataFrame, most: int) -> DataFrame | None:
+    """Rows of keyed(key, node, ...) under keys of pairs of parts, so that any two nodes of a hot key that links(a, b) do not hold together meet; None if all do.
+
+    The largest group of a key is one side, in parts; the other nodes meet it and each other.
+    """
+    near = keyed.join(F.broadcast(hot.select("key")), "key").join(connected_components(links), "node", "left").withColumn("_c", F.coalesce("component", "node")).drop("component")
+    sizes = near.groupBy("key", "_c").agg(F.count("*").alias("k"))
+    per = sizes.groupBy("key").agg(F.sum("k").alias("n"), F.max(F.struct("k", "_c")).alias("b")).where("n > b.k")
+    half = max(1, most // 2)
+    rows = [(r["key"], r["b"]["_c"], math.ceil((r["n"] - r["b"]["k"]) / half), math.ceil(r["b"]["k"] / half)) for r in per.collect()]  # at most MAX_HOT
+    if not rows:
+        return None
+    plan = keyed.sparkSession.createDataFrame(rows, "key long, _main long, _r int, _p int")
+    draw, main = F.xxhash64("node", "key", F.lit(DEALINGS)), F.col("_c") == F.col("_main")
+    part = F.when(main, F.col("_r") + F.pmod(draw, F.col("_p").cast("long"))).otherwise(F.pmod(draw, F.col("_r").cast("long")))
+    met = near.join(F.broadcast(plan), "key").withColumn("_i", part)
+    others = F.sequence(F.lit(0), F.when(main, F.col("_r")).otherwise(F.col("_r") + F.col("_p")) - 1)
+    keys = F.transform(F.filter(others, lambda j: j != F.col("_i")), lambda j: F.xxhash64(F.col("key"), F.least(j.cast("long"), F.col("_i")), F.greatest(j.cast("long"), F.col("_i"))))
+    return met.withColumn("key", F.explode(keys)).select(keyed.columns)
+
+
 def proposals(nodes: DataFrame) -> DataFrame:
     """(a, b): links that connect nodes(node, fingerprint, mins) which share a minimum and differ in BUDGET bits at most."""
     keyed = nodes.select(F.explode(F.transform("mins", lambda m, i: F.xxhash64(m, i))).alias("key"), "node", "fingerprint")
@@ -211,45 +233,84 @@ def proposals(nodes: DataFrame) -> DataFrame:
     parts = map_arrow(marked.where("n is not null").select("key", "node", "fingerprint", "parts"), split, "key long, node long, fingerprint binary")
     size = TABLES * hot.agg(F.sum("n")).first()[0]
     parts = dealt(parts, hot_keys(parts.select("key"), size, HOT))
-    return trie_join(marked.where("n is null").select("key", "node", "fingerprint").union(parts), BUDGET, BITS)
+    first = checkpoint(trie_join(marked.where("n is null").select("key", "node", "fingerprint").union(parts), BUDGET, BITS))
+    apart = rest(keyed, hot, first, HOT)
+    return first if apart is None else first.union(trie_join(apart, BUDGET, BITS))
 
 
 def short_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that connect nodes(node, set) whose sets are alike; found by their smallest shingles, which pairs so alike share."""
+    """(a, b): links that connect nodes(node, n, set) whose sets are alike; found by their first shingles, which pairs so alike share.
 
-    def starts(batches):
-        for b in batches:
-            sets = b.column("set").to_pylist()
-            if not sets:
-                continue
-            sizes = np.array([len(x) // 8 for x in sets])
-            first = _prefix(sizes, similarity)
-            flat = np.frombuffer(b"".join(sets), np.int64)
-            at = np.cumsum(sizes) - sizes
-            row = np.repeat(np.arange(len(sets)), first)
-            key = flat[at[row] + np.arange(len(row)) - (np.cumsum(first) - first)[row]]
-            yield pa.RecordBatch.from_arrays([pa.array(key), b.column("node").take(pa.array(row)), b.column("set").take(pa.array(row))], ["key", "node", "set"])
+    First are the smallest hashes; where that makes hot keys, shingles that many sets have
+    come last, the most frequent at the end, so that few but near copies are left under hot keys.
+    """
 
-    keyed = map_arrow(nodes.select("node", "set"), starts, "key long, node long, set binary")
-    rows = nodes.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1), F.lit(0))).first()[0]
-    keyed = dealt(keyed, hot_keys(keyed.select("key"), int(rows), WHOLE))
-    return map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _verified(similarity), "a long, b long")
+    def starts(common, n):
+        def run(batches):
+            for b in batches:
+                sets = b.column("set").to_pylist()
+                if not sets:
+                    continue
+                sizes = np.array([len(x) // 8 for x in sets])
+                first = sizes if common is None else _prefix(sizes, similarity)
+                flat = np.frombuffer(b"".join(sets), np.int64)
+                if common is not None and len(common.value):
+                    at = np.minimum(np.searchsorted(common.value, flat), len(common.value) - 1)
+                    many = np.where(common.value[at] == flat, n.value[at], 0)
+                    flat = flat[np.lexsort((flat, many, np.repeat(np.arange(len(sets)), sizes)))]
+                at = np.cumsum(sizes) - sizes
+                row = np.repeat(np.arange(len(sets)), first)
+                key = flat[at[row] + np.arange(len(row)) - (np.cumsum(first) - first)[row]]
+                rows = [pa.array(key)] if common is None else [pa.array(key), b.column("node").take(pa.array(row)), b.column("set").take(pa.array(row))]
+                yield pa.RecordBatch.from_arrays(rows, ["key", "node", "set"][: len(rows)])
+
+        return run
+
+    def keyed_by(rows: list) -> DataFrame:
+        common = [np.array(x, np.int64) for x in zip(*sorted((r["key"], r["n"]) for r in rows))] or [np.zeros(0, np.int64)] * 2
+        send = nodes.sparkSession.sparkContext.broadcast
+        return map_arrow(nodes.select("node", "set"), starts(*map(send, common)), "key long, node long, set binary")
+
+    def linked(keyed: DataFrame) -> DataFrame:
+        return map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _verified(similarity), "a long, b long")
+
+    sums = nodes.agg(F.sum("n").alias("all"), F.sum(F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).alias("first")).first()
+    keyed = keyed_by([])
+    if hot_keys(keyed.select("key"), int(sums["first"] or 0), WHOLE) is not None:
+        every = hot_keys(map_arrow(nodes.select("node", "set"), starts(None, None), "key long"), int(sums["all"]), WHOLE)
+        keyed = keyed_by(every.select("key", "n").collect() if every is not None else [])  # at most MAX_HOT
+    hot = hot_keys(keyed.select("key"), int(sums["first"] or 0), WHOLE)
+    if hot is None:
+        return linked(keyed)
+    first = checkpoint(linked(dealt(keyed, hot)))
+    apart = rest(keyed, hot, first, WHOLE)
+    return first if apart is None else first.union(linked(apart))
 
 
 def wide_links(texts: DataFrame, proposed: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
     """(a, b): of proposed(node, component), the links that exact sets confirm. One of each node's texts(doc_id, _h, text) is read again."""
     members = checkpoint(proposed.join(nodes.select("node", "first", "mins"), "node").select(F.col("component").alias("key"), "node", "mins", F.col("first.doc_id").alias("_id"), F.col("first._h").alias("_t")))
     n = members.count()
-    keyed, hot = members.drop("mins"), hot_keys(members.select("key"), n, WHOLE)
-    if hot is not None:
-        marked = _marked(members, hot)
-        by_mins = marked.where("n is not null").withColumn("key", F.explode(F.transform("mins", lambda m, i: F.xxhash64(F.col("key"), m, i)))).drop("mins", "n", "parts")
-        keyed = marked.where("n is null").drop("mins", "n", "parts").union(dealt(by_mins, hot_keys(by_mins.select("key"), MINS * n, WHOLE)))
-    held = bitmap(members.select(F.xxhash64("_id", "_t").alias("_w")), "_w", n, MAX_BITS)
-    wanted = texts.sparkSession.sparkContext.broadcast(held)
-    sets = shingle_sets(texts.withColumn("_w", F.xxhash64("doc_id", "_h")), size, wanted=wanted).select("doc_id", "_h", "set").dropDuplicates(["doc_id", "_h"])
-    together = keyed.join(sets, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("_h"))).select("key", "node", "set")
-    return map_arrow(together.repartition("key").sortWithinPartitions("key"), _verified(similarity), "a long, b long")
+
+    def linked(rows: DataFrame, count: int) -> DataFrame:
+        held = bitmap(rows.select(F.xxhash64("_id", "_t").alias("_w")), "_w", count, MAX_BITS)
+        wanted = texts.sparkSession.sparkContext.broadcast(held)
+        sets = shingle_sets(texts.withColumn("_w", F.xxhash64("doc_id", "_h")), size, wanted=wanted).select("doc_id", "_h", "set").dropDuplicates(["doc_id", "_h"])
+        together = rows.join(sets, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("_h"))).select("key", "node", "set")
+        return map_arrow(together.repartition("key").sortWithinPartitions("key"), _verified(similarity), "a long, b long")
+
+    hot = hot_keys(members.select("key"), n, WHOLE)
+    if hot is None:
+        return linked(members.drop("mins"), n)
+    marked = _marked(members, hot)
+    by_mins = marked.where("n is not null").withColumn("key", F.explode(F.transform("mins", lambda m, i: F.xxhash64(F.col("key"), m, i)))).drop("mins", "n", "parts")
+    again = hot_keys(by_mins.select("key"), MINS * n, WHOLE)
+    first = linked(marked.where("n is null").drop("mins", "n", "parts").union(dealt(by_mins, again)), n)
+    if again is None:
+        return first
+    first = checkpoint(first)
+    apart = rest(by_mins, again, first, WHOLE)
+    return first if apart is None else first.union(linked(apart, n))
 
 
 def similar(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:

@@ -416,6 +416,36 @@ def test_hot_keys_are_dealt(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in rows(near.keep_one(df))) == want
 
 
+@pytest.mark.parametrize("lines,most", [(4, 10), (12, 10), (12, 40)])
+def test_hot_keys_lose_no_link(spark, monkeypatch, lines, most):
+    """Texts of lines that all share, few of them near to each other, short or long, with every key hot: the groups of all pairs."""
+    r = random.Random(lines)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    pool = [[word() for _ in range(9)] for _ in range(lines + 4)]
+    sets, docs = [], []
+    for i in range(300):
+        t = [w for k in sorted(r.sample(range(lines + 4), lines)) for w in pool[k]] + [word() for _ in range(i % 3)]
+        docs.append((i, " ".join(t)))
+        sets.append({tuple(t[k : k + 5]) for k in range(len(t) - 4)})
+    up = list(range(300))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(300):
+        for j in range(i):
+            if 1.8 * len(sets[i] & sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j])):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    want = sorted({find(i) for i in range(300)})
+    assert 5 < len(want) < 290
+    for name, value in (("HOT", most), ("WHOLE", most), ("ANCHORS", 1), ("DEALINGS", 1), ("TABLES", 1)):
+        monkeypatch.setattr(near, name, value)
+    assert sorted(x["doc_id"] for x in rows(near.keep_one(spark.createDataFrame(docs, "doc_id long, text string")))) == want
+
+
 def test_caches_hold_no_long_words():
     long = "x" * 5000
     counter = token_counts.TrieCounter(token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
