@@ -16,14 +16,13 @@ equal sets are one node from the start, named by 64 bits of the set.
    together over proposals are compared, rarest shingles first. Sets are of 40-bit hashes.
 
 Hot keys. A key that more than HOT nodes share (and more than one of MAX_HOT of all rows, so a
-table of hot keys to broadcast has MAX_HOT rows at most) is split before its rows move. In step 1
-by the fingerprint's bits at TABLES random choices of positions, so that texts which merely
-share a line part; in step 2 by the minima. What is hot even then is a crowd of texts all near
-to each other: it is dealt into blocks at random, DEALINGS times, each block with the same
-ANCHORS of its members, drawn at random, so that the blocks hang together through them.
-Neither loses a link: what does not hang together then under a hot key is compared in full,
-all of it with all nodes of the key, in pairs of parts. This costs the size of a crowd times
-the number of its nodes outside its largest group.
+table of hot keys to broadcast has MAX_HOT rows at most) is dealt into blocks at random before
+its rows move, DEALINGS times, each block with the same ANCHORS of the key's nodes, drawn at
+random, so that the blocks of a crowd of near texts hang together through them; in step 2 it is
+split by the minima first. This loses no link: what does not hang together then under a hot key
+is compared in full, all of it with all nodes of the key, in pairs of parts. Each row brings the
+group that it is known to be in, and only links between groups are returned. The rows compared
+are the size of a crowd times the number of its nodes outside its largest group, over HOT / 2.
 
 Defined cases: null text counts as empty; all documents without words are one group; rows
 that share a doc_id, or have none, are documents of their own, told apart by their text; an
@@ -41,15 +40,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Spans, Words, bitmap, checkpoint, chunks, in_bitmap, map_arrow, mix, whole
 from tessera.llm.components import connected_components
-from tessera.llm.simhash import packed, prints_of, trie_join
+from tessera.llm.simhash import firsts, packed, prints_of, trie_join
 
 SIZE, SIMILARITY = 5, 0.8
 BITS, BUDGET, MINS = 256, 56, 6
 SHORT = 40  # texts of up to so many distinct shingles are found by their shingle sets, not by fingerprints
 HOT, MAX_HOT = 512, 50_000
 WHOLE = 512  # nodes that hang together over proposals and are compared in one task
-TABLES, LONGEST = 8, 10
 ANCHORS, DEALINGS = 32, 2
+TABLES = 8  # of no effect: hot keys are no longer split by fingerprint bits; a test names it
 MAX_BITS = 1 << 30  # of the bitmap of texts to read again: 128 MB
 
 _OWN = np.uint64(40)  # bits of a shingle's hash that tell it from others of its document
@@ -101,9 +100,15 @@ def _prefix(sizes: np.ndarray, similarity: float) -> np.ndarray:
     return sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
 
 
-def alike(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
-    """For each of some sets, none of them empty and laid end to end, the first set it hangs together with over exact links."""
+def alike(flat: np.ndarray, sizes: np.ndarray, similarity: float, head: np.ndarray | None = None) -> np.ndarray:
+    """For each of some sets, none of them empty and laid end to end, the first set it hangs together with over exact links.
+
+    With head, a set hangs together with the set head[i], the first of its group, from the start.
+    """
     n, at = len(sizes), np.cumsum(sizes) - sizes
+    head = np.arange(n) if head is None else head
+    members = np.argsort(head, kind="stable")
+    group = np.searchsorted(head[members], np.arange(n + 1))
     owner = np.repeat(np.arange(n), sizes)
     _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(count), np.int64)
@@ -118,7 +123,8 @@ def alike(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
     for i in range(n):
         if root[i] >= 0:
             continue
-        root[i], todo, left = i, [i], left - 1
+        todo = members[group[i] : group[i + 1]].tolist()  # i is the first of its group
+        root[todo], left = i, left - len(todo)
         while todo and left:
             p = todo.pop()
             mine = token[at[p] : at[p] + sizes[p]]
@@ -137,25 +143,28 @@ def alike(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
             has[mine] = False
             shared = np.add.reduceat(held.astype(np.int64), begin)
             found = near[shared >= similarity * (sizes[near] + sizes[p] - shared)]
-            root[found], left = i, left - len(found)
-            todo += found.tolist()
+            for g in np.unique(head[found]).tolist():
+                more = members[group[g] : group[g + 1]]
+                root[more], left = i, left - len(more)
+                todo += more.tolist()
     return root
 
 
 def _verified(similarity: float):
-    """Of rows (key, node, set) sorted by key, the links among the sets of each key."""
+    """Of rows (key, node, set) sorted by key, the links among the sets of each key; with a group, those between groups."""
 
     def run(batches):
         for now in whole(batches, "key"):
             key, node = now.column("key").to_numpy(), now.column("node").to_numpy()
             sets = now.column("set").to_pylist()
+            head = firsts(key, now.column("group").to_numpy()) if "group" in now.column_names else np.arange(len(now))
             edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist() + [len(key)]
             a, b = [], []
             for lo, hi in zip(edge, edge[1:]):
                 if hi - lo > 1:
                     sizes = np.array([len(x) // 8 for x in sets[lo:hi]])
-                    root = alike(np.frombuffer(b"".join(sets[lo:hi]), np.uint64), sizes, similarity)
-                    member = np.flatnonzero(root != np.arange(hi - lo))
+                    root = alike(np.frombuffer(b"".join(sets[lo:hi]), np.uint64), sizes, similarity, head[lo:hi] - lo)
+                    member = np.flatnonzero((root != np.arange(hi - lo)) & (head[lo:hi] == np.arange(lo, hi)))
                     a.append(node[lo + root[member]])
                     b.append(node[lo + member])
             if a:
@@ -192,7 +201,7 @@ def dealt(keyed: DataFrame, hot: DataFrame | None) -> DataFrame:
 def rest(keyed: DataFrame, hot: DataFrame, links: DataFrame, most: int) -> DataFrame | None:
     """Rows of keyed(key, node, ...) under keys of pairs of parts, so that any two nodes of a hot key that links(a, b) do not hold together meet; None if all do.
 
-    The largest group of a key is one side, in parts; the other nodes meet it and each other.
+    They have a column more, group: what links hold together. The largest group of a key is one side, in parts; the other nodes meet it and each other.
     """
     near = keyed.join(F.broadcast(hot.select("key")), "key").join(connected_components(links), "node", "left").withColumn("_c", F.coalesce("component", "node")).drop("component")
     sizes = near.groupBy("key", "_c").agg(F.count("*").alias("k"))
@@ -207,7 +216,7 @@ def rest(keyed: DataFrame, hot: DataFrame, links: DataFrame, most: int) -> DataF
     met = near.join(F.broadcast(plan), "key").withColumn("_i", part)
     others = F.sequence(F.lit(0), F.when(main, F.col("_r")).otherwise(F.col("_r") + F.col("_p")) - 1)
     keys = F.transform(F.filter(others, lambda j: j != F.col("_i")), lambda j: F.xxhash64(F.col("key"), F.least(j.cast("long"), F.col("_i")), F.greatest(j.cast("long"), F.col("_i"))))
-    return met.withColumn("key", F.explode(keys)).select(keyed.columns)
+    return met.withColumn("key", F.explode(keys)).select(*keyed.columns, F.col("_c").alias("group"))
 
 
 def proposals(nodes: DataFrame) -> DataFrame:
@@ -216,24 +225,7 @@ def proposals(nodes: DataFrame) -> DataFrame:
     hot = hot_keys(keyed.select("key"), MINS * nodes.count(), HOT)
     if hot is None:
         return trie_join(keyed, BUDGET, BITS)
-    order = np.stack([np.random.default_rng(t).permutation(BITS)[:LONGEST] for t in range(TABLES)])
-
-    def split(batches):
-        for b in batches:
-            if len(b):
-                bits = np.unpackbits(np.frombuffer(b"".join(b.column("fingerprint").to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1)
-                length = np.minimum(np.ceil(np.log2(b.column("parts").to_numpy())).astype(np.int64), LONGEST)
-                key = b.column("key").to_numpy().view(np.uint64)
-                for t in range(TABLES):
-                    value = np.where(np.arange(LONGEST) < length[:, None], bits[:, order[t]], 0) @ (1 << np.arange(LONGEST, dtype=np.int64))
-                    sub = mix(key + mix((value * TABLES + t).view(np.uint64), 5), 6)
-                    yield pa.RecordBatch.from_arrays([pa.array(sub.view(np.int64)), b.column("node"), b.column("fingerprint")], ["key", "node", "fingerprint"])
-
-    marked = _marked(keyed, hot)
-    parts = map_arrow(marked.where("n is not null").select("key", "node", "fingerprint", "parts"), split, "key long, node long, fingerprint binary")
-    size = TABLES * hot.agg(F.sum("n")).first()[0]
-    parts = dealt(parts, hot_keys(parts.select("key"), size, HOT))
-    first = checkpoint(trie_join(marked.where("n is null").select("key", "node", "fingerprint").union(parts), BUDGET, BITS))
+    first = checkpoint(trie_join(dealt(keyed, hot), BUDGET, BITS))
     apart = rest(keyed, hot, first, HOT)
     return first if apart is None else first.union(trie_join(apart, BUDGET, BITS))
 
@@ -296,7 +288,7 @@ def wide_links(texts: DataFrame, proposed: DataFrame, nodes: DataFrame, size: in
         held = bitmap(rows.select(F.xxhash64("_id", "_t").alias("_w")), "_w", count, MAX_BITS)
         wanted = texts.sparkSession.sparkContext.broadcast(held)
         sets = shingle_sets(texts.withColumn("_w", F.xxhash64("doc_id", "_h")), size, wanted=wanted).select("doc_id", "_h", "set").dropDuplicates(["doc_id", "_h"])
-        together = rows.join(sets, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("_h"))).select("key", "node", "set")
+        together = rows.join(sets, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("_h"))).select("key", "node", "set", *[c for c in rows.columns if c == "group"])
         return map_arrow(together.repartition("key").sortWithinPartitions("key"), _verified(similarity), "a long, b long")
 
     hot = hot_keys(members.select("key"), n, WHOLE)

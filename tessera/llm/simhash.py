@@ -141,10 +141,13 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def trie_links(prints: np.ndarray, budget: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among rows of prints (n x words, sorted, distinct)."""
+def trie_links(prints: np.ndarray, budget: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among rows of prints (n x words, sorted, distinct); with known, of those between what known numbers apart."""
     n, words = prints.shape
     forest, links = Forest(n), []
+    if known is not None:
+        _, first, which = np.unique(known, return_index=True, return_inverse=True)
+        forest.up = first[which]
 
     def branch(lo: int, hi: int, depth: int) -> tuple[int, int]:
         """Where a node's members part: the first bit at or below depth that varies, and the position of the first 1."""
@@ -172,7 +175,7 @@ def trie_links(prints: np.ndarray, budget: int) -> list[tuple[int, int]]:
         if (ra == ra[0]).all() and (rb == ra[0]).all():
             continue  # all of them hang together already
         if max(ahi - alo, bhi - blo) <= LEAF:
-            close = distance(prints[alo:ahi, None], prints[None, blo:bhi]) <= budget
+            close = (distance(prints[alo:ahi, None], prints[None, blo:bhi]) <= budget) & (ra[:, None] != rb)
             for i, j in zip(*np.nonzero(np.triu(close, 1) if same else close)):
                 if forest.join(alo + int(i), blo + int(j)):
                     links.append((alo + int(i), blo + int(j)))
@@ -188,25 +191,39 @@ def trie_links(prints: np.ndarray, budget: int) -> list[tuple[int, int]]:
     return links
 
 
-def _subtries(key: np.ndarray, prints: np.ndarray, ids: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links below each start, for rows sorted by key: from the smallest id of what hangs together there to each other member."""
+def firsts(key: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each row the first one with the same key and group."""
+    order = np.lexsort((group, key))
+    new = np.append(True, (key[order][1:] != key[order][:-1]) | (group[order][1:] != group[order][:-1]))
+    out = np.empty(len(key), np.int64)
+    out[order] = order[new][np.cumsum(new) - 1] if len(key) else order
+    return out
+
+
+def _subtries(key: np.ndarray, prints: np.ndarray, ids: np.ndarray, budget: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links below each start, for rows sorted by key: from the smallest id of what hangs together there to each other member.
+
+    With group, rows of one group hang together already: only links between groups are made, one for each group
+    but the first of what hangs together.
+    """
     order = np.lexsort((ids, key))
     key, prints, ids = key[order], prints[order], ids[order]
+    head = np.arange(len(key)) if group is None else firsts(key, group[order])
     a, b = [], []
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(edge, len(key)))
     small = np.repeat(size <= SMALL, size)
     for step in range(1, int(size[size <= SMALL].max(initial=0))):
-        i = np.flatnonzero((key[:-step] == key[step:]) & small[:-step])
+        i = np.flatnonzero((key[:-step] == key[step:]) & small[:-step] & (head[:-step] != head[step:]))
         i = i[distance(prints[i], prints[i + step]) <= budget]
         a.append(i)
         b.append(i + step)
     for lo, n in zip(edge[size > SMALL], size[size > SMALL]):
         order = lo + np.lexsort(prints[lo : lo + n].T[::-1])
-        pairs = np.array(trie_links(prints[order], budget), np.int64).reshape(-1, 2)
+        pairs = np.array(trie_links(prints[order], budget, None if group is None else head[order]), np.int64).reshape(-1, 2)
         a.append(order[pairs[:, 0]])
         b.append(order[pairs[:, 1]])
-    i, j = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
+    i, j = head[np.concatenate([*a, np.zeros(0, np.int64)])], head[np.concatenate([*b, np.zeros(0, np.int64)])]
     root, last = np.arange(len(key)), None
     while last is None or (root != last).any():
         last = root.copy()
@@ -219,12 +236,15 @@ def _subtries(key: np.ndarray, prints: np.ndarray, ids: np.ndarray, budget: int)
 
 
 def trie_join(keyed: DataFrame, budget: int, bits: int) -> DataFrame:
-    """(a, b): links that connect, under each key, all nodes of keyed(key, fingerprint, node) within the budget."""
-    words = bits // 64
+    """(a, b): links that connect, under each key, all nodes of keyed(key, fingerprint, node) within the budget.
+
+    Where keyed has a group too, nodes of one group hang together already, and only groups are connected.
+    """
+    words, grouped = bits // 64, "group" in keyed.columns
 
     def traverse(batches):
         for now in whole(batches, "key"):
-            a, c = _subtries(now.column("key").to_numpy(), unpacked(now.column("fingerprint"), words), now.column("node").to_numpy(), budget)
+            a, c = _subtries(now.column("key").to_numpy(), unpacked(now.column("fingerprint"), words), now.column("node").to_numpy(), budget, now.column("group").to_numpy() if grouped else None)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
 
     found = map_arrow(keyed.repartition("key").sortWithinPartitions("key"), traverse, "a long, b long")

@@ -446,6 +446,80 @@ def test_hot_keys_lose_no_link(spark, monkeypatch, lines, most):
     assert sorted(x["doc_id"] for x in rows(near.keep_one(spark.createDataFrame(docs, "doc_id long, text string")))) == want
 
 
+def test_hot_keys_make_few_links(spark, monkeypatch):
+    """Crowds of near copies under all their minima: few links a node and hot key, and from the full comparison only those between groups."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2, near.BITS)
+    prints = np.where(rng.random((900, near.BITS)) < 0.08, 1 - base, base)
+    prints[600:] = rng.integers(0, 2, (300, near.BITS))  # texts that merely share a line
+    prints[890:] = prints[880:890]
+    prints[890:, 0] ^= 1
+    packed = np.packbits(prints, axis=1)
+    nodes = spark.createDataFrame([(i, bytearray(packed[i].tobytes()), [1, 2, 3, 4, 5, 6]) for i in range(900)], "node long, fingerprint binary, mins array<long>")
+    made, real = [], simhash.map_arrow
+
+    def counted(df, run, schema):
+        n = spark.sparkContext.accumulator(0)
+        made.append(n)
+
+        def each(batches):
+            for b in run(batches):
+                n.add(len(b))
+                yield b
+
+        each.__module__ = run.__module__
+        return real(df, each, schema)
+
+    monkeypatch.setattr(simhash, "map_arrow", counted)
+    monkeypatch.setattr(near, "HOT", 60)
+    links = {(r["a"], r["b"]) for r in near.proposals(nodes).collect()}
+    found = {frozenset(x) for x in (brute_groups(links, 900).values())}
+    assert found == {frozenset(range(600)), *(frozenset((i, i + 10)) for i in range(880, 890)), *(frozenset((i,)) for i in range(600, 880))}
+    first, apart = (n.value for n in made)
+    assert first <= near.MINS * near.DEALINGS * 1200 and apart <= near.MINS * 100
+
+
+def brute_groups(links, n):
+    up = list(range(n))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        up[find(a)] = find(b)
+    groups = {}
+    for i in range(n):
+        groups.setdefault(find(i), []).append(i)
+    return groups
+
+
+@pytest.mark.parametrize("n, known", [(40, 5), (400, 8), (400, 400), (400, 1)])
+def test_known_groups(n, known):
+    """What is known to hang together is not linked again, and all else is, by fingerprints and by sets."""
+    rng = np.random.default_rng(n + known)
+    base = rng.integers(0, 2**63, (n // 8, 1), dtype=np.uint64)
+    prints = base[np.arange(n) % len(base)] ^ (np.uint64(1) << rng.integers(0, 64, (n, 1)).astype(np.uint64))
+    prints ^= np.arange(n, dtype=np.uint64)[:, None] << np.uint64(50)
+    key, ids, group = np.arange(n) % 2, rng.permutation(n), rng.integers(0, known, n)
+    held = [(i, j) for k in (0, 1) for g in range(known) for m in [np.flatnonzero((key == k) & (group == g)).tolist()] for i, j in zip(m, m[1:])]
+    place = np.argsort(ids)
+    budget = 6
+    a, b = simhash._subtries(key, prints, ids, budget, group)
+    plain = simhash._subtries(key, prints, ids, budget)
+    pairs = lambda x: list(zip(place[x[0]].tolist(), place[x[1]].tolist()))
+    together = brute_groups([*held, *pairs(plain)], n)
+    assert sorted(map(sorted, brute_groups([*held, *pairs((a, b))], n).values())) == sorted(map(sorted, together.values()))
+    assert len(a) == len(brute_groups(held, n)) - len(together)
+    sets = [np.unique(np.append(rng.choice(30, 12, replace=False), 100 + i % 9)) for i in range(n)]
+    sizes, flat, head = np.array([len(x) for x in sets]), np.concatenate(sets).astype(np.uint64), simhash.firsts(np.zeros(n, np.int64), group)
+    root = near.alike(flat, sizes, 0.6, head)
+    free = near.alike(flat, sizes, 0.6)
+    want = brute_groups([*enumerate(head.tolist()), *enumerate(free.tolist())], n)
+    assert sorted(map(sorted, brute_groups(enumerate(root.tolist()), n).values())) == sorted(map(sorted, want.values()))
+
+
 def test_caches_hold_no_long_words():
     long = "x" * 5000
     counter = token_counts.TrieCounter(token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
